@@ -46,6 +46,17 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.environ["SIFTLOOM_LOCAL_DIR"]
 
 
+def mounted_dir(spark: SparkSession) -> str:
+    """The shared folder as a path of the file system, for files that are read and written by position."""
+    folder = shared_dir(spark)
+    if folder.startswith("file:"):
+        folder = "/" + folder.removeprefix("file:").lstrip("/")
+    elif not folder.startswith("/") or not (spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:").startswith("file:"):
+        raise RuntimeError("filter files need a shared folder that is mounted as a file system")
+    os.makedirs(folder, exist_ok=True)
+    return folder
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
