@@ -46,14 +46,15 @@ def collisions(frames: DataFrame, m: int, h: int, family: str = "md5_60") -> Dat
 
 
 def ranks(bits: DataFrame) -> DataFrame:
-    """(pos, rank): rank counts the set bits before a position. Buckets are numbered side by side; only the table of their
-    sizes, m / 32768 rows, is summed in one place."""
-    b = bits.withColumn("bucket", F.expr(f"pos div {BUCKET}"))
-    sizes = b.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select(F.col("bucket").alias("b"), before.alias("before"))
-    inside = F.row_number().over(Window.partitionBy("bucket").orderBy("pos")) - 1
-    return b.withColumn("inside", inside).join(offsets, F.col("bucket") == F.col("b")).select("pos", (F.col("before") + F.col("inside")).cast("bigint").alias("rank"))
+    """bits, one row a position, with its rank: the number of set bits before it. Buckets of positions are numbered side by
+    side; only the table of their sizes, m / 32768 rows, is summed in one place."""
+    b = bits.withColumn("__bucket", F.expr(f"pos div {BUCKET}")).repartition("__bucket")
+    sizes = b.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(F.col("__bucket").alias("__b"), before.alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__bucket").orderBy("pos")) - 1
+    ranked = b.withColumn("__inside", inside).join(offsets, F.col("__bucket") == F.col("__b"))
+    return ranked.select(*bits.columns, (F.col("__before") + F.col("__inside")).cast("bigint").alias("rank"))
 
 
 def reservoir(frames: DataFrame, m: int, h: int, family: str = "md5_60") -> DataFrame:
@@ -61,16 +62,18 @@ def reservoir(frames: DataFrame, m: int, h: int, family: str = "md5_60") -> Data
 
     A sequence observes each of its distinct hash values once; observations of a rank are numbered in the order of
     sequence, id and hash. Number c takes the rank if (hash xor id) mod c is c - 1, so the first always does; the last taker
-    stays. A hot rank is numbered in strides of sequences, whose sizes are summed first, so that no task gets all of it."""
-    obs = hashed(frames, m, h, family).select("seq", "id", "hash", "pos").distinct().withColumn("stride", F.expr(f"seq div {STRIDE}"))
+    stays. Observations are shuffled once, by rank and stride of sequences, so that no task gets all of a hot rank; the
+    strides' sizes are summed first."""
+    obs = hashed(frames, m, h, family).select("seq", "id", "hash", "pos").withColumn("stride", F.expr(f"seq div {STRIDE}"))
+    obs = obs.repartition("pos", "stride").distinct()
     sizes = obs.groupBy("pos", "stride").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("pos").orderBy("stride").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.withColumn("before", before).drop("n")
+    offsets = sizes.withColumn("before", before).where(F.col("before") > 0).drop("n")
     inside = F.row_number().over(Window.partitionBy("pos", "stride").orderBy("seq", "id", "hash"))
-    numbered = obs.withColumn("inside", inside).join(offsets, ["pos", "stride"]).select("pos", "id", "hash", (F.col("before") + F.col("inside")).alias("c"))
+    numbered = obs.withColumn("inside", inside).join(offsets, ["pos", "stride"], "left").select("pos", "id", "hash", (F.coalesce("before", F.lit(0)) + F.col("inside")).alias("c"))
     won = hashing.unsigned_mod(F.col("hash").bitwiseXOR(F.col("id")), F.col("c")) == F.col("c") - 1
     taken = numbered.groupBy("pos").agg(F.max_by("id", F.when(won, F.col("c"))).alias("id"), F.max("c").alias("obs"))
-    return taken.join(ranks(taken.select("pos")), "pos").select("pos", "rank", "id", "obs")
+    return ranks(taken).select("pos", "rank", "id", "obs")
 
 
 def first_writer(frames: DataFrame, m: int, h: int, family: str = "md5_60") -> DataFrame:

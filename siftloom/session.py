@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,12 +26,35 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     )
 
 
+_SENT: set[str] = set()
+
+
+def send_package(spark: SparkSession) -> None:
+    """Gives the executors' Python workers this package, once an application, whether or not they have it on their path."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SENT:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(root):  # not when the package runs from such an archive itself
+        archive = os.path.join(tempfile.mkdtemp(prefix="siftloom-"), "siftloom.zip")  # the driver's, which serves it to all
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, files in os.walk(root):
+                for f in sorted(files):
+                    if f.endswith(".py"):
+                        full = os.path.join(folder, f)
+                        z.write(full, os.path.join("siftloom", os.path.relpath(full, root)))
+        sc.addPyFile(archive)
+    _SENT.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    send_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     """The session's shuffle width, for operators that must fix the number of partitions themselves."""
+    send_package(spark)
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
