@@ -62,8 +62,9 @@ def p2_rate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _elements(spark: SparkSession, d: str) -> DataFrame:
+    """Cleaned once and written, as prefixes, counts and reads are taken from it one after another."""
     rows = dna.with_element(table(spark, d, "cbf_insert").select("seq_id", "pos", "seq", "filter_id"))
-    return rows.where(F.col("element").isNotNull()).select("seq_id", "pos", "filter_id", "element")
+    return durable(rows.where(F.col("element").isNotNull()).select("seq_id", "pos", "filter_id", "element"), "elements")
 
 
 def p3_counts(spark: SparkSession, d: str) -> DataFrame:
