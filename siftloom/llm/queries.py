@@ -284,6 +284,16 @@ c AS (SELECT doc_id, count(DISTINCT i + o) AS repeated FROM t, (SELECT unnest(ra
 r AS (SELECT doc_id, len(ws)::BIGINT AS words, coalesce(repeated, 0)::BIGINT AS repeated FROM w LEFT JOIN c USING (doc_id))"""
 
 
+_LINES = r"""WITH l AS (SELECT doc_id, lower(trim(source)) AS host, unnest(regexp_split_to_array(coalesce(text, ''), '\r\n|\r|\n')) AS line FROM documents),
+n AS (SELECT doc_id, host, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[ \t\f\v\r]+', ' ', 'g'), ' ') AS line FROM l),
+e AS (SELECT doc_id, host, line, count(*) AS n FROM n WHERE line <> '' GROUP BY ALL),
+c AS (SELECT host, line FROM e GROUP BY host, line HAVING count(*) > 20),
+m AS (SELECT doc_id, sum(n)::BIGINT AS lines, coalesce(sum(n) FILTER (c.line IS NOT NULL), 0)::BIGINT AS removed
+  FROM e LEFT JOIN c ON e.host IS NOT DISTINCT FROM c.host AND e.line = c.line GROUP BY doc_id),
+r AS (SELECT doc_id, coalesce(lines, 0) AS lines, coalesce(removed, 0) AS removed FROM documents LEFT JOIN m USING (doc_id))
+SELECT doc_id, lines, removed, CASE WHEN lines > 0 THEN round(1 - removed / lines, 6) ELSE 0.0 END AS share_left, lines > 0 AND round(1 - removed / lines, 6) < 0.5 AS rejected FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _HEAVY.format("field, value"),
@@ -299,6 +309,7 @@ SELECT seq_id, size, coalesce(shared, 0)::BIGINT AS shared, CASE WHEN size > 0 T
         "p5_overlaps": _OVERLAPS + " SELECT * FROM o",
         "p5_found": _OVERLAPS + " SELECT id_a, id_b FROM o WHERE shared * 10 >= either",
         "p6_found": _SNAPSHOTS,
+        "p9_lines": _LINES,
         "p9_found": _REPEATED + " SELECT doc_id FROM r WHERE words > 0 AND repeated * 2 >= words",
         "p9_shares": _REPEATED + " SELECT doc_id, words, repeated, CASE WHEN words > 0 THEN round(repeated / words, 6) ELSE 0.0 END AS share FROM r",
     }
