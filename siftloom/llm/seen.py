@@ -35,8 +35,11 @@ LATEST = (1 << 63) - 1
 class Layer:
     def __init__(self, capacity: int, error: float, hashes: int | None):
         self.capacity, self.error = capacity, error
-        self.k = hashes or max(1, round(-math.log2(error)))
-        self.m = max(64, math.ceil(-self.k * capacity / math.log(1 - error ** (1 / self.k))))
+        best = max(1, round(-math.log2(error)))
+        size = lambda k: max(64, math.ceil(-k * capacity / math.log1p(-(error ** (1 / k)))))
+        # A given number of hashes is kept unless it would take over four times the best size.
+        self.k = hashes if hashes and size(hashes) <= 4 * size(best) else best
+        self.m = size(self.k)
         self.bits = np.zeros((self.m + 7) // 8, np.uint8)
         self.keys = 0
 
