@@ -8,7 +8,8 @@ proportion to the text. The automaton of a shard covers its distinct stretches;
 source that reaches it, so the matching statistic of a position, the longest suffix that stands in two sources at least,
 is found by streaming the stretch through the automaton. Positions under a match of `length` or more are the shared ones.
 
-Exact copies of a stretch are merged before the shards are built. Shards of more than `most` letters (a repeat anchor may
+Exact copies of a stretch are merged before the shards are built, and records find the matches of their stretches by
+anchor and a 64-bit hash of the stretch. Shards of more than `most` letters (a repeat anchor may
 hold a third of all rows) do not go through one automaton: their windows are counted as rows, spread by window, and give
 the same positions.
 
@@ -19,6 +20,7 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from siftloom.session import durable, shuffle_partitions
 
 WORD = 16
+CHUNK = 1 << 20
 
 
 class SuffixAutomaton:
@@ -147,25 +150,65 @@ def _anchors(codes: np.ndarray, length: int, word: int) -> tuple[np.ndarray, np.
     return starts, low[starts]
 
 
-def _stretches(length: int, word: int):
-    """Each record as stretches: longest runs of neighbouring windows with the same anchor."""
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """(records, sources, texts) of CHUNK letters or little more; a letter is a byte."""
+    for b in batches:
+        rid, src = b.column(0).to_numpy(), b.column(1).to_numpy()
+        texts: list[bytes] = []
+        at, size = 0, 0
+        for i, x in enumerate(b.column(2).to_pylist()):
+            texts.append(x.encode("latin-1", "replace"))
+            size += len(texts[-1])
+            if size >= CHUNK:
+                yield rid[at : i + 1], src[at : i + 1], texts
+                texts, at, size = [], i + 1, 0
+        if texts:
+            yield rid[at:], src[at:], texts
+
+
+def _cut(texts: list[bytes], length: int, word: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(number of its text, start in it, anchor, letters) of every stretch, a longest run of neighbouring windows with one anchor.
+
+    All texts are one array, apart by a letter that no window may hold."""
+    data = b"\n".join(texts)
+    starts, anchor = _anchors(_codes(data), length, word)
+    if not len(starts):
+        return starts, starts, starts, []
+    cut = np.flatnonzero((np.diff(starts) != 1) | (anchor[1:] != anchor[:-1])) + 1
+    lo, hi = starts[np.append(0, cut)], starts[np.append(cut - 1, len(starts) - 1)]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    first = np.cumsum(sizes) - sizes
+    at = np.searchsorted(first, lo, "right") - 1
+    return at, lo - first[at], anchor[np.append(0, cut)].view(np.int64), [data[i:j] for i, j in zip(lo.tolist(), (hi + length).tolist())]
+
+
+def _hash(stretch: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(stretch, digest_size=8).digest(), "little", signed=True)
+
+
+def _distinct_stretches(length: int, word: int):
+    """(anchor, h, stretch, low, high): each chunk's distinct stretches with their smallest and largest source. Copies meet here,
+    before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rid, src, anchors, at, texts = [], [], [], [], []
-            for r, s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()):
-                starts, anchor = _anchors(_codes(t), length, word)
-                if not len(starts):
-                    continue
-                cut = np.flatnonzero((np.diff(starts) != 1) | (anchor[1:] != anchor[:-1])) + 1
-                lo, hi = starts[np.concatenate([[0], cut])], starts[np.concatenate([cut - 1, [len(starts) - 1]])]
-                rid += [r] * len(lo)
-                src += [s] * len(lo)
-                anchors.append(anchor[np.concatenate([[0], cut])].astype(np.int64))
-                at.append(lo)
-                texts += [t[i : j + length] for i, j in zip(lo.tolist(), hi.tolist())]
-            if rid:
-                yield pa.record_batch([pa.array(rid, pa.int64()), pa.array(src, pa.int64()), pa.array(np.concatenate(anchors)), pa.array(np.concatenate(at), pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], names=["rid", "src", "anchor", "at", "stretch"])
+        for _, src, texts in _chunks(batches):
+            at, _, anchor, stretches = _cut(texts, length, word)
+            if stretches:
+                t = pa.table({"stretch": pa.array(stretches, pa.binary()), "anchor": anchor, "src": src[at]})
+                t = t.group_by(["anchor", "stretch"], use_threads=False).aggregate([("src", "min"), ("src", "max")]).combine_chunks()
+                letters = t["stretch"].combine_chunks()
+                yield pa.record_batch([t["anchor"].combine_chunks(), pa.array(map(_hash, letters.to_pylist()), pa.int64()), letters.cast(pa.string()), t["src_min"].combine_chunks(), t["src_max"].combine_chunks()], names=["anchor", "h", "stretch", "low", "high"])
+
+    return run
+
+
+def _placed_stretches(length: int, word: int):
+    """(rid, anchor, h, at): where the stretches of each record start."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rid, _, texts in _chunks(batches):
+            at, lo, anchor, stretches = _cut(texts, length, word)
+            yield pa.record_batch([pa.array(rid[at], pa.int64()), pa.array(anchor, pa.int64()), pa.array(map(_hash, stretches), pa.int64()), pa.array(lo, pa.int64())], names=["rid", "anchor", "h", "at"])
 
     return run
 
@@ -192,23 +235,23 @@ def _automata(length: int):
 
     def shard(rows: list[tuple]) -> Iterator[tuple]:
         sam = SuffixAutomaton()
-        for _, text, lo, hi in rows:
+        for _, _, text, lo, hi in rows:
             sam.add(text, lo, hi)
         sam.finish()
-        for anchor, text, _, _ in rows:
+        for anchor, h, text, _, _ in rows:
             lo, hi = _runs(sam.statistics(text), length)
             if lo:
-                yield anchor, text, lo, hi
+                yield anchor, h, lo, hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(found: list[tuple]) -> pa.RecordBatch:
-            a, t, lo, hi = zip(*found)
-            return pa.record_batch([pa.array(a, pa.int64()), pa.array(t, pa.string()), pa.array(lo, pa.list_(pa.int64())), pa.array(hi, pa.list_(pa.int64()))], names=["anchor", "stretch", "lo", "hi"])
+            a, h, lo, hi = zip(*found)
+            return pa.record_batch([pa.array(a, pa.int64()), pa.array(h, pa.int64()), pa.array(lo, pa.list_(pa.int64())), pa.array(hi, pa.list_(pa.int64()))], names=["anchor", "h", "lo", "hi"])
 
         rows: list[tuple] = []
         found: list[tuple] = []
         for b in batches:
-            for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for x in zip(*(c.to_pylist() for c in b.columns)):
                 if rows and rows[0][0] != x[0]:
                     found += shard(rows)
                     rows = []
@@ -229,24 +272,27 @@ def shared_spans(records: DataFrame, record_id: str, source: str, text: Column,
     parts = shuffle_partitions(records.sparkSession)
     base = records.select(F.col(record_id).cast("long").alias("rid"), F.col(source).cast("long").alias("src"), text.alias("text"))
     base = base.where(F.col("src").isNotNull() & (F.col("src") != 0) & F.col("rid").isNotNull() & (F.length("text") >= length))
-    pieces = durable(base.mapInArrow(_stretches(length, WORD), "rid long, src long, anchor long, at long, stretch string"), "stretches")
+    shape = "anchor long, h long, stretch string, low long, high long"
 
-    # One row a distinct stretch, then the anchors that more than one source has.
-    distinct = pieces.groupBy("anchor", "stretch").agg(F.min("src").alias("low"), F.max("src").alias("high"))
-    per = distinct.groupBy("anchor").agg(F.min("low").alias("l"), F.max("high").alias("h"), F.sum(F.length("stretch")).alias("letters")).where(F.col("l") != F.col("h")).select("anchor", "letters")
-    wanted = durable(distinct.join(per, "anchor"), "shards")
+    # Texts are shuffled once, by anchor; each task's copies are merged before. Of the anchors those stay that two sources have.
+    sent = base.select("rid", "src", "text").mapInArrow(_distinct_stretches(length, WORD), shape).repartition(parts, "anchor")
+    distinct = sent.groupBy("anchor", "h", "stretch").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    shard = Window.partitionBy("anchor")
+    sized = distinct.withColumns({"l": F.min("low").over(shard), "u": F.max("high").over(shard), "letters": F.sum(F.length("stretch")).over(shard)})
+    wanted = durable(sized.where(F.col("l") != F.col("u")).drop("l", "u"), "shards")
 
-    shards = wanted.where(F.col("letters") <= most).select("anchor", "stretch", "low", "high").repartition(parts, "anchor").sortWithinPartitions("anchor")
-    matched = shards.mapInArrow(_automata(length), "anchor long, stretch string, lo array<long>, hi array<long>").select("anchor", "stretch", F.explode(F.arrays_zip("lo", "hi")).alias("x")).select("anchor", "stretch", "x.lo", "x.hi")
+    small = wanted.where(F.col("letters") <= most).select("anchor", "h", "stretch", "low", "high").repartition(parts, "anchor").sortWithinPartitions("anchor")
+    matched = small.mapInArrow(_automata(length), "anchor long, h long, lo array<long>, hi array<long>").select("anchor", "h", F.explode(F.arrays_zip("lo", "hi")).alias("x")).select("anchor", "h", "x.lo", "x.hi")
 
     # Shards too large for one automaton: every window a row, spread by its letters.
     large = wanted.where(F.col("letters") > most)
-    windows = large.select("anchor", "stretch", "low", "high", F.posexplode(F.transform(F.sequence(F.lit(0), F.length("stretch") - length), lambda i: F.col("stretch").substr(i + 1, F.lit(length)))).alias("lo", "window"))
-    both = windows.groupBy("window").agg(F.min("low").alias("l"), F.max("high").alias("h")).where(F.col("l") != F.col("h")).select("window")
-    counted = windows.join(both, "window", "left_semi").select("anchor", "stretch", F.col("lo").cast("long"), (F.col("lo") + length).cast("long").alias("hi"))
+    windows = large.select("anchor", "h", "low", "high", F.posexplode(F.transform(F.sequence(F.lit(0), F.length("stretch") - length), lambda i: F.col("stretch").substr(i + 1, F.lit(length)))).alias("lo", "window"))
+    both = windows.groupBy("window").agg(F.min("low").alias("l"), F.max("high").alias("u")).where(F.col("l") != F.col("u")).select("window")
+    counted = windows.join(both, "window", "left_semi").select("anchor", "h", F.col("lo").cast("long"), (F.col("lo") + length).cast("long").alias("hi"))
 
-    hits = matched.unionByName(counted)
-    placed = pieces.join(hits, ["anchor", "stretch"]).select("rid", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi")).distinct()
+    # Records meet the matches of their stretches by anchor and hash, without their texts.
+    pieces = base.select("rid", "src", "text").mapInArrow(_placed_stretches(length, WORD), "rid long, anchor long, h long, at long")
+    placed = pieces.join(matched.unionByName(counted), ["anchor", "h"]).select("rid", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi")).distinct()
     w = Window.partitionBy("rid").orderBy("lo", "hi")
     reach = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
     starts = placed.withColumn("new", F.when(F.col("lo") <= reach, 0).otherwise(1))
