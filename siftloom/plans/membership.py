@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftloom.functions import sizing
 from siftloom.operators import bloom
 from siftloom.plans.common import sql_hash
 from siftloom.session import durable, mounted_dir, shared_dir, table
@@ -15,6 +16,8 @@ from siftloom.streaming.first_seen import SeenFilter
 
 #: A size at which the filter answers some keys wrongly, so that its errors are compared too.
 M, H = 2048, 4
+#: Error rate of the filter that is sized by its members.
+FPR = 0.03
 
 
 def _members(spark: SparkSession, d: str, small: bool = True) -> DataFrame:
@@ -70,7 +73,9 @@ def bf_anti_join(spark: SparkSession, d: str) -> DataFrame:
 def bf_prefilter_join(spark: SparkSession, d: str) -> DataFrame:
     """An exact join behind the filter: rows that the filter rules out do not reach it. Answers equal the plain join."""
     lines = table(spark, d, "lineitem").select("l_partkey", "l_quantity")
-    kept = bloom.semi_join(lines, "l_partkey", _bits(spark, d), M, H)
+    members = _members(spark, d)
+    m = members.agg(sizing.optimal_size(F.countDistinct("key"), F.lit(FPR), F.lit(H))).first()[0]
+    kept = bloom.semi_join(lines, "l_partkey", bloom.build(members, "key", m, H), m, H)
     parts = table(spark, d, "part").where(F.col("p_size") <= 10).select("p_partkey", "p_brand")
     return kept.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
