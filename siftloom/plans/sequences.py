@@ -60,9 +60,10 @@ def multi_hash(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kmer_hash_ext(spark: SparkSession, d: str) -> DataFrame:
-    words = _words(spark, d).select(F.substring("element", 1, SHORT).alias("kmer")).distinct()
-    canonical = hashing.strand_hashes(F.col("kmer"), SHORT)[2]
-    return words.withColumn("c", canonical).select("kmer", F.posexplode(hashing.extended_hashes(F.col("c"), SHORT, 4)).alias("i", "hash"))
+    """Hashes of whole elements, all of K letters."""
+    words = _words(spark, d).select(F.col("element").alias("kmer"))
+    canonical = hashing.strand_hashes(F.col("kmer"), K)[2]
+    return words.withColumn("c", canonical).select("kmer", F.posexplode(hashing.extended_hashes(F.col("c"), K, 4)).alias("i", "hash"))
 
 
 def bit_positions(spark: SparkSession, d: str) -> DataFrame:
