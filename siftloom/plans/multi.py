@@ -15,10 +15,16 @@ from siftloom.sources import filterfile
 M, H = 1 << 20, 3
 #: The index over the k-mers of contigs.
 READ_M = 1 << 24
+#: Part of the bits that is set at most in an index sized by its elements.
+OCCUPANCY = 0.3
 BLOCKS = 64
 HIGHEST = 40
 
 
+def _size(frames: DataFrame) -> int:
+    return frames.agg(sizing.size_from_occupancy(F.countDistinct("elem"), F.lit(H), OCCUPANCY)).first()[0]
+
+
 def _slots(spark: SparkSession, d: str) -> DataFrame:
     frames = indexed(spark, d)
     return multiindex.saturated(multiindex.reservoir(frames, M, H), frames, M, H)
@@ -113,39 +119,45 @@ def mibf_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mibf_insert(spark: SparkSession, d: str) -> DataFrame:
-    return multiindex.insert(indexed(spark, d), M, H, 1, BLOCKS)
+    frames = indexed(spark, d)
+    return multiindex.insert(frames, _size(frames), H, 1, BLOCKS)
 
 
 def mibf_insert_strand(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "mi_element").select("elem_id", "id", dna.clean(F.col("seq")).alias("c")).where((F.col("id") != 0) & dna.is_plain(F.col("c"))).dropDuplicates(["elem_id"])
     element = dna.strand_free(F.col("c"))
     frames = rows.select(F.col("elem_id").alias("seq"), F.lit(0).alias("pos"), element.alias("elem"), "id", F.array_repeat(element == F.col("c"), H).alias("strands"))
-    return multiindex.insert_strand(frames, M, H, 1, BLOCKS)
+    return multiindex.insert_strand(frames, _size(frames), H, 1, BLOCKS)
 
 
 def mibf_saturation(spark: SparkSession, d: str) -> DataFrame:
-    return multiindex.saturate_in_order(indexed(spark, d), M, H, BLOCKS)
+    frames = indexed(spark, d)
+    return multiindex.saturate_in_order(frames, _size(frames), H, BLOCKS)
 
 
 # Classification: contigs with a source make the index, all contigs are reads.
 
 
-def _read_index(spark: SparkSession, d: str) -> DataFrame:
-    frames = contig_kmers(spark, d).where(F.col("id") != 0).select(F.col("seq_id").alias("seq"), "pos", F.col("element").alias("elem"), "id")
-    return durable(multiindex.saturated(multiindex.reservoir(frames, READ_M, H), frames, READ_M, H), "index")
+def _read_frames(spark: SparkSession, d: str) -> DataFrame:
+    return contig_kmers(spark, d).where(F.col("id") != 0).select(F.col("seq_id").alias("seq"), "pos", F.col("element").alias("elem"), "id")
+
+
+def _read_index(spark: SparkSession, d: str, m: int) -> DataFrame:
+    frames = _read_frames(spark, d)
+    return durable(multiindex.saturated(multiindex.reservoir(frames, m, H), frames, m, H), "index")
 
 
-def _gathered(spark: SparkSession, d: str, slots: DataFrame) -> DataFrame:
+def _gathered(spark: SparkSession, d: str, slots: DataFrame, m: int) -> DataFrame:
     frames = contig_kmers(spark, d).select(F.col("seq_id").alias("read"), "pos", F.col("element").alias("elem"))
-    return classify.gathered(frames, slots, READ_M, H)
+    return classify.gathered(frames, slots, m, H)
 
 
 def mibf_all_counts(spark: SparkSession, d: str) -> DataFrame:
-    return classify.all_counts(_gathered(spark, d, _read_index(spark, d))).where("totalCount > 0")
+    return classify.all_counts(_gathered(spark, d, _read_index(spark, d, READ_M), READ_M)).where("totalCount > 0")
 
 
 def mibf_match_signature(spark: SparkSession, d: str) -> DataFrame:
-    return classify.signature(_gathered(spark, d, _read_index(spark, d)))
+    return classify.signature(_gathered(spark, d, _read_index(spark, d, READ_M), READ_M))
 
 
 def mibf_rank_candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -155,15 +167,17 @@ def mibf_rank_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mibf_classify(spark: SparkSession, d: str) -> DataFrame:
-    slots = _read_index(spark, d)
-    return classify.classify(_gathered(spark, d, slots), multiindex.frame_probabilities(slots, READ_M, H))
+    m = _size(_read_frames(spark, d))
+    slots = _read_index(spark, d, m)
+    return classify.classify(_gathered(spark, d, slots, m), multiindex.frame_probabilities(slots, m, H))
 
 
 def mibf_classify_pair(spark: SparkSession, d: str) -> DataFrame:
     """Each contig as a pair of mates, its frames from the front and those from the back."""
-    slots = _read_index(spark, d)
-    got = _gathered(spark, d, slots)
-    return classify.interleaved(got, got.withColumn("pos", -F.col("pos")), multiindex.frame_probabilities(slots, READ_M, H))
+    m = _size(_read_frames(spark, d))
+    slots = _read_index(spark, d, m)
+    got = _gathered(spark, d, slots, m)
+    return classify.interleaved(got, got.withColumn("pos", -F.col("pos")), multiindex.frame_probabilities(slots, m, H))
 
 
 QUERIES = (
