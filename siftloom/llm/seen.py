@@ -5,8 +5,8 @@ Method: scalable Bloom chains. A chain starts with a small layer; when a layer r
 holds however long the history gets: target x (1 - r) x (1 + r + r^2 + ...) <= target. Records are hash-partitioned by
 (group, key) and run through the chain of their group in load order, so only one chain is in memory at a time.
 
-Copies of a key within one chunk of a map task are settled there: all but the first are answered at once and do not
-travel, so that a key with a third of all rows does not flood one task.
+Copies of a key beyond the second within one chunk of a map task are settled there: they are answered at once and skip
+the chain, so that a key with a third of all rows does not flood one task. Every repeated key is still put to the chain.
 
 A chain has no false negatives. An exact pass over the records it answered "seen" removes its wrong answers and so also
 measures their rate. Keys are compared by two 64-bit hashes with different seeds.
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from siftloom.session import shuffle_partitions
 
 CHUNK = 1 << 16
+#: Records of a key that a chunk leaves to the chain: one that is new there, and one that repeats it.
+LEADERS = 2
 DEFAULT_ERROR = 0.001
 LATEST = (1 << 63) - 1
 
@@ -91,22 +93,23 @@ class BloomChain:
             at += n
 
     def offer(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Answers for keys in order, and adds the new ones; copies within the call are told apart exactly."""
+        """Answers for keys in order, and adds the new ones; copies within the call are asked once the first is added."""
         pairs = np.empty(len(a), dtype=[("a", np.uint64), ("b", np.uint64)])
         pairs["a"], pairs["b"] = a, b
         _, first = np.unique(pairs, return_index=True)
-        seen = np.ones(len(a), bool)
+        seen, copy = np.ones(len(a), bool), np.ones(len(a), bool)
         first.sort()
+        copy[first] = False
         seen[first] = self.has(a[first], b[first])
         new = first[~seen[first]]
         self.add(a[new], b[new])
+        seen[copy] = self.has(a[copy], b[copy])
         return seen
 
 
 
-
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Within a chunk, keeps the first record of each key as a leader and answers the others; drops copies of a record."""
+    """Within a chunk, keeps the first LEADERS records of each key and answers the others; drops copies of a record."""
 
     def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held).sort_by([(c, "ascending") for c in ("grp", "a", "b", "at", "id")])
@@ -116,7 +119,10 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same[1:] = (code[1:] == code[:-1]) & (a[1:] == a[:-1]) & (b[1:] == b[:-1])
         again = same.copy()
         again[1:] &= i[1:] == i[:-1]
-        t = t.append_column("settled", pa.array(same)).filter(pa.array(~again))
+        same = same[~again]
+        at = np.arange(len(same))
+        place = at - np.maximum.accumulate(np.where(same, 0, at))
+        t = t.filter(pa.array(~again)).append_column("settled", pa.array(place >= LEADERS))
         yield from t.to_batches()
 
     held, rows = [], 0

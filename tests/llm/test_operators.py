@@ -99,6 +99,26 @@ def test_seen(spark):
     assert nothing.count() == 0 and seen.verified(nothing).count() == 0
 
 
+class Forgetful(seen.BloomChain):
+    def has(self, a, b):
+        return np.zeros(len(a), bool)
+
+
+def test_copies_are_put_to_the_chain():
+    keys = np.array([1, 2, 1, 1], dtype=np.uint64)
+    assert not Forgetful().offer(keys, keys).any()
+    assert seen.BloomChain().offer(keys, keys).tolist() == [False, False, True, True]
+
+
+def test_every_repeated_key_is_answered_by_the_chain(spark):
+    rows = [(i, i, f"k{i % 500}") for i in range(1000)] + [(1000 + i, 1000 + i, "hot") for i in range(1000)]
+    df = spark.createDataFrame(rows, "rid bigint, sec bigint, key string").withColumns({"at": F.timestamp_seconds("sec"), "g": F.lit("f")}).coalesce(1)
+    got = seen.answers(df, F.col("key"), "g", "at", "rid").collect()
+    # Only the chain states a bound.
+    assert {r.id for r in got if r.seen and r.bound > 0} == {*range(500, 1000), 1001}
+    assert {r.id for r in got if r.seen} == {*range(500, 1000), *range(1001, 2000)}
+
+
 def test_very_long_keys(spark):
     df = spark.createDataFrame([(1, "f", "A" * 2_000_000), (2, "f", "A" * 2_000_000), (3, "f", "A" * 1_999_999)], "rid bigint, g string, key string").withColumn("at", F.timestamp_seconds(F.col("rid")))
     assert [r.id for r in seen.verified(seen.answers(df, F.col("key"), "g", "at", "rid")).collect()] == [2]
