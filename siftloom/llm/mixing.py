@@ -7,14 +7,15 @@ the blocks by index. A pass repeats no block, so a record comes at most as often
 
 The size of the whole follows from the targets unless it is given: the largest at which no capped source is expected to
 run out, with four standard deviations of its draws to spare. Shares are scaled to add up to 1 over the sources that have
-documents. A slot beyond a source's cap stays unfilled, and the report shows it.
+documents and may give any. A slot beyond a source's cap stays unfilled, and the report shows it.
 
 Running sums are taken in two steps, first over buckets of a source and then within each, so that a source with a third of
 all rows is not sorted in one task.
 
 Defined cases: sources compare without case and outer blanks; null and unlisted sources, null and empty texts give
 nothing; a null share or one that is not positive is no target; of several targets of a source the largest share holds; a
-null cap is none, and a cap below 1 lets nothing through; empty tables give an empty selection; extra columns are ignored.
+null cap is none, and a cap below 1 lets nothing through and leaves its source out of the shares and of the total; empty
+tables give an empty selection; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -86,22 +87,22 @@ def plan(sources: DataFrame, targets: DataFrame, block: int, total: int | None =
     """sources: (source, size in tokens), one row each. The driver gets one row a target source."""
     limits = targets.where(F.col("target_share") > 0).groupBy(source_name(F.col("source")).alias("s")).agg(F.max_by(F.struct("target_share", "max_repeats"), "target_share").alias("t"))
     rows = sorted(sources.join(limits, F.col("source") == F.col("s")).select("source", "size", "t.target_share", "t.max_repeats").collect())
-    rows = [r for r in rows if r.size]
+    rows = [r for r in rows if r.size and (r.max_repeats is None or r.max_repeats > 0)]
     sum_share = sum(r.target_share for r in rows) or 1.0
     share = [r.target_share / sum_share for r in rows]
     blocks = [math.ceil(r.size / block) for r in rows]
-    cap = [None if r.max_repeats is None else max(0, r.max_repeats) * b for r, b in zip(rows, blocks)]
+    cap = [None if r.max_repeats is None else r.max_repeats * b for r, b in zip(rows, blocks)]
     if total is not None:
         slots = total // block
     else:
         # s p + SPREAD sqrt(s p (1 - p)) <= cap, solved for s.
         def most(p: float, c: int) -> int:
             spread = SPREAD * math.sqrt(max(0.0, 1 - p))
-            return math.floor(((-spread + math.sqrt(spread * spread + 4 * c)) / 2) ** 2 / p) if c else 0
+            return math.floor(((-spread + math.sqrt(spread * spread + 4 * c)) / 2) ** 2 / p)
 
         slots = min([most(p, c) for p, c in zip(share, cap) if c is not None] or [sum(blocks)])
         if rows and not slots:
-            slots = 1 if all(c is None or c > 0 for c in cap) else 0
+            slots = 1
     return Plan([r.source for r in rows], share, [r.size for r in rows], blocks, cap, slots, per_shard)
 
 

@@ -437,6 +437,18 @@ def test_mixing_stops_at_the_caps(spark):
     assert report["a"].repeats == 1 and report["b"].repeats > 5 and report["a"].share < 0.1
 
 
+@vocabulary
+@pytest.mark.parametrize("none", [0, -1])
+def test_a_cap_of_nothing_leaves_the_others(spark, none):
+    docs = spark.createDataFrame([(i, "one two three four " * 20, s) for i, s in enumerate("abc" * 20)], "doc_id bigint, text string, source string")
+    goal = spark.createDataFrame([("a", 0.4, none), ("b", 0.4, None), ("c", 0.2, 2)], "source string, target_share double, max_repeats int")
+    report = {r.source: r for r in mixing.shares(mixing.selection(docs, goal, block=8), goal).collect()}
+    assert report["a"].tokens == 0 and report["a"].target_share == 0.4
+    assert abs(report["b"].share - 2 / 3) < 0.15 and abs(report["c"].share - 1 / 3) < 0.15
+    only = goal.where("source = 'a'")
+    assert mixing.selection(docs, only, block=8).count() == 0
+
+
 # 9
 
 
