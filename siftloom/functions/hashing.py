@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,12 +13,20 @@ from pyspark.sql import types as T
 
 MASK = (1 << 64) - 1
 
-#: Base seeds of the rotating families, for A, C, G and T; ours, and parameters everywhere.
-SEEDS = (0x3C8BFBB395C60474, 0x3193C18562A02B4C, 0x20323ED082572324, 0x295549F54BE24456)
-#: Seed that derives the further hashes of the XOR family; ours.
-VAR_SEED = 0x9E3779B97F4A7C15
-#: Multiplier and shift that derive the further hashes of the multiplicative family; ours.
-MULTIPLIER, SHIFT = 0x90B45D39FB6DA1FA | 1, 27
+
+
+def _drawn(name: str) -> int:
+    """64 bits of our own: the beginning of the SHA-256 of a name."""
+    return int.from_bytes(hashlib.sha256(f"siftloom {name}".encode()).digest()[:8], "big")
+
+
+#: Base seeds of the rotating families, for A, C, G and T. These and the next ones are drawn from names, and equal nobody's
+#: published ones; files of other programs need theirs, which are parameters everywhere.
+SEEDS = tuple(_drawn(f"base {c}") for c in "ACGT")
+#: Seed that derives the further hashes of the XOR family.
+VAR_SEED = _drawn("further")
+#: Multiplier (odd, so that no bit is lost) and shift that derive the further hashes of the multiplicative family.
+MULTIPLIER, SHIFT = _drawn("multiplier") | 1, 29
 
 
 def signed(x: int) -> int:
@@ -42,32 +51,95 @@ def unsigned_least(a: Column, b: Column) -> Column:
     return F.when(a.bitwiseXOR(flip) <= b.bitwiseXOR(flip), a).otherwise(b)
 
 
-def md5_60(x: Column, i: Column | int) -> Column:
-    """60 bits of md5 over 'i:x'; the same in any SQL engine with md5."""
-    i = F.lit(i) if isinstance(i, int) else i
-    return F.conv(F.substring(F.md5(F.concat(i.cast("string"), F.lit(":"), x)), 1, 15), 16, 10).cast("bigint")
+def _hex(digits: Column, start: int, n: int) -> Column:
+    return F.conv(F.substring(digits, start, n), 16, 10).cast("bigint")
 
 
-def xx64(x: Column, i: Column | int) -> Column:
-    return F.xxhash64(x, F.lit(i) if isinstance(i, int) else i)
+def _each(h: int | Column, value: Callable[[Column], Column]) -> Column:
+    """Array of value(i) for i below h. A number unrolls; a column (h differs by row) takes a transform."""
+    if isinstance(h, int):
+        return F.array(*[value(F.lit(i).cast("bigint")) for i in range(h)])
+    return F.transform(F.sequence(F.lit(0).cast("bigint"), h.cast("bigint") - 1), value)
 
 
-FAMILIES: dict[str, Callable[[Column, Column | int], Column]] = {"md5_60": md5_60, "xx64": xx64}
+def _md5_parts(x: Column) -> Column:
+    """Array of one struct: a, 60 bits of md5 of x, and b, the next 52, made odd. An array, so that both are bound once and the
+    digest is not taken again for each hash."""
+    return F.transform(F.array(F.md5(x)), lambda d: F.struct(_hex(d, 1, 15).alias("a"), _hex(d, 16, 13).bitwiseOR(F.lit(1).cast("bigint")).alias("b")))
 
 
-def hashes(x: Column, h: int | Column, family: str = "md5_60") -> Column:
-    """Array of h hash values. A number unrolls into generated code; a column (h differs by row) takes a transform."""
-    f = FAMILIES[family]
-    if isinstance(h, int):
-        return F.array(*[f(x, i) for i in range(h)])
-    return F.transform(F.sequence(F.lit(0), h - 1), lambda i: f(x, i))
+def md5_pair(x: Column, h: int | Column) -> Column:
+    """a + i b, double hashing over one md5; the same in any SQL engine with md5. h up to 1,000, so that no sum wraps."""
+    return F.transform(_md5_parts(x), lambda p: _each(h, lambda i: p["a"] + i * p["b"]))[0]
+
+
+def md5_60(x: Column, h: int | Column) -> Column:
+    """60 bits of md5 over 'i:x', one digest a hash."""
+    return _each(h, lambda i: _hex(F.md5(F.concat(i.cast("string"), F.lit(":"), x)), 1, 15))
+
+
+def xx64(x: Column, h: int | Column) -> Column:
+    """The engine's own 64-bit hash, with i as a second column."""
+    return _each(h, lambda i: F.xxhash64(x, i.cast("int")))
+
+
+FAMILIES: dict[str, Callable[[Column, int | Column], Column]] = {"md5_pair": md5_pair, "md5_60": md5_60, "xx64": xx64}
+DEFAULT = "md5_pair"
+
+
+def seeded(seeds: tuple[str, ...]) -> str:
+    """The family of spaced seeds, one hash a seed: k-mers that agree under a seed's care letters agree in its hash."""
+    if not seeds or any(not x or set(x) - {"0", "1"} for x in seeds) or len({len(x) for x in seeds}) > 1:
+        raise ValueError("spaced seeds are strings of 0 and 1, all of one length")
+    return "seeds:" + ",".join(seeds)
 
 
-def positions(x: Column, m: int | Column, h: int | Column, family: str = "md5_60") -> Column:
-    """Array of h bit positions below m, in hash order; the same position may come twice."""
+def _under(kmer: Column, seed: str) -> Column:
+    return F.concat(*[kmer.substr(j + 1, 1) if c == "1" else F.lit("-") for j, c in enumerate(seed)])
+
+
+def _seed_hashes(seeds: list[str]) -> Callable[[Column, int | Column], Column]:
+    def family(x: Column, h: int | Column) -> Column:
+        if h != len(seeds):
+            raise ValueError(f"{len(seeds)} spaced seeds give as many hashes")
+        back = F.reverse(F.translate(x, "ATCG", "TAGC"))
+        word = lambda s: F.least(_under(x, s), _under(back, s))
+        return F.array(*[_hex(F.md5(F.concat(F.lit(f"{i}:"), word(s))), 1, 15) for i, s in enumerate(seeds)])
+
+    return family
+
+
+def hashes(x: Column, h: int | Column, family: str = DEFAULT) -> Column:
+    """Array of h hash values."""
+    if family.startswith("seeds:"):
+        return _seed_hashes(family[6:].split(","))(x, h)
+    return FAMILIES[family](x, h)
+
+
+def _bigint(x: Column | int) -> Column:
+    return F.lit(x).cast("bigint") if isinstance(x, int) else x.cast("bigint")
+
+
+def block_of(first: Column, blocks: int | Column) -> Column:
+    """The block of an element by the upper bits of its first hash; 2^30 blocks at most."""
+    return F.pmod(F.shiftrightunsigned(first, 30), _bigint(blocks))
+
+
+def placed(values: Column, m: int | Column, blocks: int | Column = 1) -> Column:
+    """Array of positions of an array of hashes: all of them lie in one block of m / blocks positions. One block is the flat layout."""
     if isinstance(m, int) and m <= 0:
         raise ValueError("a filter needs a positive size")
-    return F.transform(hashes(x, h, family), lambda v: unsigned_mod(v, m))
+    if isinstance(blocks, int) and blocks == 1:
+        return F.transform(values, lambda v: unsigned_mod(v, m))
+    per = F.greatest(F.floor(_bigint(m) / _bigint(blocks)).cast("bigint"), F.lit(1).cast("bigint"))
+    return F.transform(values, lambda v: block_of(values[0], blocks) * per + unsigned_mod(v, per))
+
+
+def positions(x: Column, m: int | Column, h: int | Column, family: str = DEFAULT, blocks: int | Column = 1) -> Column:
+    """Array of h positions below m, in hash order; the same position may come twice."""
+    if isinstance(blocks, int) and blocks == 1:
+        return placed(hashes(x, h, family), m)
+    return F.transform(F.array(hashes(x, h, family)), lambda v: placed(v, m, blocks))[0]
 
 
 def strand_hashes(kmer: Column, k: int, seeds: tuple[int, ...] = SEEDS) -> tuple[Column, Column, Column]:
