@@ -17,13 +17,21 @@ from siftloom.functions import hashing
 from siftloom.session import shuffle_partitions
 
 
-def placed(rows: DataFrame, element: str, m: int | Column, h: int | Column, blocks: int | Column, family: str = "md5_60") -> DataFrame:
-    """Adds block and slots, the h slot numbers within the block, of m / blocks slots."""
-    lit = lambda x: F.lit(x).cast("bigint") if isinstance(x, int) else x.cast("bigint")
-    per = F.greatest(F.floor(lit(m) / lit(blocks)).cast("bigint"), F.lit(1).cast("bigint"))
-    x = F.col(element).cast("string")
-    block = F.pmod(F.xxhash64(F.lit("block"), x), lit(blocks))
-    return rows.withColumn("block", block).withColumn("slots", hashing.positions(x, per, h, family))
+#: Slots of a block: what one fold holds, whatever the size of the filter.
+SLOTS = 1 << 13
+
+
+def number(m: int | Column) -> int | Column:
+    """How many blocks a filter of m slots has."""
+    if isinstance(m, int):
+        return max(1, m // SLOTS)
+    return F.greatest(F.floor(m / SLOTS).cast("bigint"), F.lit(1).cast("bigint"))
+
+
+def placed(rows: DataFrame, element: str, m: int | Column, h: int | Column, blocks: int | Column, family: str = hashing.DEFAULT) -> DataFrame:
+    """Adds hashes, block and slots: the h positions of the element, all in its block."""
+    hashed = rows.withColumn("hashes", hashing.hashes(F.col(element).cast("string"), h, family))
+    return hashed.withColumns({"block": hashing.block_of(F.col("hashes")[0], blocks), "slots": hashing.placed(F.col("hashes"), m, blocks)})
 
 
 def folded(rows: DataFrame, key: list[str], order: list[str], columns: list[str], fold: Callable[[], object], schema: str) -> DataFrame:

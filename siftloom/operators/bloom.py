@@ -14,13 +14,13 @@ from siftloom.functions import hashing
 BUCKET = 32768
 
 
-def exploded(elements: DataFrame, element: str, m: int | Column, h: int | Column, keep: list[str] | None = None, family: str = "md5_60") -> DataFrame:
+def exploded(elements: DataFrame, element: str, m: int | Column, h: int | Column, keep: list[str] | None = None, family: str = hashing.DEFAULT) -> DataFrame:
     """(keep, element, i, pos): the positions of every row."""
     cols = [*(keep or []), element]
     return elements.select(*cols, F.posexplode(hashing.positions(F.col(element).cast("string"), m, h, family)).alias("i", "pos"))
 
 
-def build(elements: DataFrame, element: str, m: int | Column, h: int | Column, keep: list[str] | None = None, family: str = "md5_60") -> DataFrame:
+def build(elements: DataFrame, element: str, m: int | Column, h: int | Column, keep: list[str] | None = None, family: str = hashing.DEFAULT) -> DataFrame:
     """(keep, pos): the set bits."""
     base = elements.where(F.col(element).isNotNull())
     return exploded(base, element, m, h, keep, family).select(*(keep or []), "pos").distinct()
@@ -65,7 +65,7 @@ def measured_fpr(pop: Column, m: Column | int, h: Column | int) -> Column:
     return F.pow(pop / lit(m).cast("double"), lit(h).cast("double"))
 
 
-def contains(probes: DataFrame, element: str, bits: DataFrame, m: int | Column, h: int | Column, keep: list[str] | None = None, family: str = "md5_60") -> DataFrame:
+def contains(probes: DataFrame, element: str, bits: DataFrame, m: int | Column, h: int | Column, keep: list[str] | None = None, family: str = hashing.DEFAULT) -> DataFrame:
     """(keep, element, hit) for every distinct element of the probes. keep: columns that bits has too, such as the filter.
 
     The bits are distinct, so the left join multiplies nothing; hot elements were made one row before."""
@@ -76,13 +76,13 @@ def contains(probes: DataFrame, element: str, bits: DataFrame, m: int | Column,
     return marked.groupBy(*keep, element).agg(F.bool_and(F.coalesce("set", F.lit(False))).alias("hit"))
 
 
-def semi_join(left: DataFrame, key: str, bits: DataFrame, m: int, h: int, anti: bool = False, family: str = "md5_60") -> DataFrame:
+def semi_join(left: DataFrame, key: str, bits: DataFrame, m: int, h: int, anti: bool = False, family: str = hashing.DEFAULT) -> DataFrame:
     """Rows of left whose key the filter holds (or, anti, surely lacks). Semi: a superset of the exact join; anti: a subset."""
     answers = contains(left.select(F.col(key).alias("__key")).where(F.col("__key").isNotNull()), "__key", bits, m, h, family=family)
     return left.join(answers.where(~F.col("hit") if anti else F.col("hit")), F.col(key) == F.col("__key"), "left_semi")
 
 
-def insert_and_check(rows: DataFrame, element: str, order: list[str], m: int, h: int, family: str = "md5_60", preset: DataFrame | None = None) -> DataFrame:
+def insert_and_check(rows: DataFrame, element: str, order: list[str], m: int, h: int, family: str = hashing.DEFAULT, preset: DataFrame | None = None) -> DataFrame:
     """(order, element, present): whether the filter held the element just before it was inserted, in the given order.
 
     An element is present if each of its bits was set by an earlier row, or before all rows (preset, a table of pos): the

@@ -1,32 +1,51 @@
 """Classification of reads against a multi-index filter.
 
-frames: (read, pos, elem). Elements are looked up once each and joined back; counts without early stop are group-bys, the
-stopping classifier is one fold a read over that read's frames, whose number its length bounds."""
+frames: (read, pos, elem). Elements are looked up once each and joined back, those that a large part of all frames have spread
+over salts; counts without early stop are group-bys. The stopping classifier is one fold a read over that read's frames, whose
+number its length bounds, in the order of a column ord: ordered() and interleaved() number all frames, the missed ones too."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, field
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftloom.operators import multiindex
+from siftloom.functions import hashing
+from siftloom.operators import hot, multiindex
+from siftloom.session import shuffle_partitions
 
 COUNTERS = ("count", "nonSatCount", "totalCount", "totalNonSatCount", "nonSatFrameCount", "solidCount")
 #: Candidates are ranked by these, the largest first; the id settles full ties.
 ORDER = ("nonSatFrameCount", "count", "solidCount", "nonSatCount", "totalNonSatCount", "totalCount", "frameProb")
-RESULT = "read bigint, id bigint, " + ", ".join(f"{c} int" for c in COUNTERS) + ", frameProb double"
+RESULT = ("read", "id", *COUNTERS, "frameProb")
+FOLDED = "read bigint, id bigint, " + ", ".join(f"{c} int" for c in COUNTERS) + ", sat_frames bigint, slots bigint, stopped bigint"
 
 
-def gathered(frames: DataFrame, slots: DataFrame, m: int, h: int, max_miss: int = 0, family: str = "md5_60") -> DataFrame:
-    """(read, pos, misses, hits): frames with max_miss misses at most; hits are (i, id, saturated) in hash order."""
-    found = multiindex.lookup(frames, "elem", slots, m, h, family)
+def ordered(frames: DataFrame) -> DataFrame:
+    """frames with ord: their number within the read, from 0."""
+    return frames.withColumn("ord", (F.row_number().over(Window.partitionBy("read").orderBy("pos")) - 1).cast("bigint"))
+
+
+def interleaved(frames: DataFrame, mates: DataFrame) -> DataFrame:
+    """The frames of pairs with ord: those of the two mates in turn, whether they match or not, the longer one's rest after."""
+    both = frames.withColumn("mate", F.lit(0)).unionByName(mates.withColumn("mate", F.lit(1)))
+    turn = F.row_number().over(Window.partitionBy("read", "mate").orderBy("pos"))
+    w = Window.partitionBy("read").orderBy("turn", "mate")
+    return both.withColumn("turn", turn).withColumn("ord", (F.row_number().over(w) - 1).cast("bigint")).drop("turn")
+
+
+def gathered(frames: DataFrame, slots: DataFrame, m: int, h: int, max_miss: int = 0, family: str = hashing.DEFAULT, blocks_: int = 1) -> DataFrame:
+    """The frames with max_miss misses at most, with (misses, hits) instead of elem; hits are (i, id, saturated) in hash order."""
+    each = frames.groupBy("elem").agg(F.count(F.lit(1)).alias("n"))
+    found = multiindex.lookup(each, "elem", slots, m, h, family, blocks_)
     hit = F.when(F.col("rank").isNotNull(), F.struct("i", "id", "saturated"))
-    per = found.groupBy("elem").agg(F.count_if(F.col("rank").isNull()).alias("misses"), F.sort_array(F.collect_list(hit)).alias("hits")).where(F.col("misses") <= max_miss)
-    return frames.join(per, "elem").select("read", "pos", "misses", "hits")
+    per = found.groupBy("elem").agg(F.count_if(F.col("rank").isNull()).cast("int").alias("misses"), F.sort_array(F.collect_list(hit)).alias("hits")).where(F.col("misses") <= max_miss)
+    return hot.joined(frames, per, "elem", ["read", "pos"], hot.hot_keys(each, "elem", "n")).drop("elem")
 
 
 def signature(got: DataFrame) -> DataFrame:
@@ -59,11 +78,6 @@ def all_counts(got: DataFrame) -> DataFrame:
     return frame.groupBy("read", "id").agg(*[F.sum(v).cast("int").alias(k) for k, v in sums.items()])
 
 
-def evaluation(got: DataFrame) -> DataFrame:
-    """(read, sat_frames, evaluated): frames with a saturated hit, and hit slots looked at."""
-    return got.groupBy("read").agg(F.count_if(F.exists("hits", lambda x: x["saturated"])).alias("sat_frames"), F.sum(F.size("hits")).alias("evaluated"))
-
-
 def ranked(results: DataFrame, read: str, id_: str) -> DataFrame:
     """Adds place: 1 for the best candidate of a read. Missing counters and NaN probabilities rank last."""
     desc = [F.when(F.isnan(c) if c == "frameProb" else F.lit(False), F.lit(None)).otherwise(F.col(c)).desc_nulls_last() for c in ORDER]
@@ -73,7 +87,8 @@ def ranked(results: DataFrame, read: str, id_: str) -> DataFrame:
 # Predicates on pairs of counters, as columns.
 
 
-def roughly_equal(a: Column, b: Column, extra: int) -> Column:
+def roughly_equal(a: Column, b: Column, extra: float) -> Column:
+    """Equal up to so many."""
     return F.abs(a - b) <= extra
 
 
@@ -90,13 +105,17 @@ def within_error_or_larger(a: Column, b: Column, extra: float) -> Column:
 
 @dataclass
 class Options:
-    extra: int = 1
+    #: Standard errors within which a candidate ties with the best.
+    extra: float = 1.0
     extra_frames: int = 20
-    max_miss: int = 0
     min_frames: int = 1
     best_agrees: bool = False
-    #: A candidate needs this count; ids of their own in min_counts.
+    #: A candidate needs this count, or that of its id where min_counts names one: a row an id of the index at most.
     min_count: int = 1
+    min_counts: dict[int, int] = field(default_factory=dict)
+
+    def least(self, id_: int) -> int:
+        return self.min_counts.get(id_, self.min_count)
 
 
 def _equal(a: int, b: int) -> bool:
@@ -107,16 +126,17 @@ def _equal(a: int, b: int) -> bool:
 class _Read:
     """The running counts of one read. Counters of an id: see COUNTERS."""
 
-    def __init__(self, options: Options, probs: dict[int, float]):
-        self.o, self.probs = options, probs
+    def __init__(self, options: Options):
+        self.o = options
         self.counts: dict[int, list[int]] = {}
         self.candidates: dict[int, None] = {}
         self.best = [0] * 6
-        self.second = self.extra = 0
+        self.second = self.extra = self.sat_frames = self.slots = 0
 
     def frame(self, misses: int, hits: list[tuple[int, bool]]) -> bool:
         """Takes a frame; true when the read is settled and its other frames need not be looked at."""
         seen: dict[tuple[int, bool], None] = {}
+        self.slots += len(hits)
         for id_, sat in hits:
             c = self.counts.setdefault(id_, [0] * 6)
             c[2] += 1
@@ -129,11 +149,13 @@ class _Read:
             for id_, _ in seen:
                 self.counts[id_][4] += 1
                 self.counts[id_][5] += misses == 0
+        else:
+            self.sat_frames += 1
         for id_, sat in seen:
             if sat and (id_, False) in seen:
                 continue
             c = self.counts[id_]
-            if c[0] >= self.o.min_count or (self.candidates and c[0] >= self.best[0]):
+            if c[0] >= self.o.least(id_) or (self.candidates and c[0] >= self.best[0]):
                 self.candidates[id_] = None
                 if c[4] <= self.best[4]:
                     # The frame count of a best that is overtaken does not become the second.
@@ -149,11 +171,11 @@ class _Read:
     def results(self) -> list[tuple]:
         if not self.candidates or self.best[4] < self.o.min_frames:
             return []
-        valid = [(id_, *self.counts[id_], self.probs.get(id_, 0.0)) for id_ in self.candidates if any(_equal(x, y) for x, y in zip(self.counts[id_], self.best))]
+        valid = [(id_, *self.counts[id_]) for id_ in self.candidates if any(_equal(x, y) for x, y in zip(self.counts[id_], self.best))]
         if len(valid) < 2:
             return valid
-        key = lambda r: (-r[5], -r[1], -r[6], -r[2], -r[4], -r[3], -r[7], r[0])
-        valid.sort(key=key)
+        # Full ties may stand in any order: neither the tied set nor the agreement depends on it.
+        valid.sort(key=lambda r: (-r[5], -r[1], -r[6], -r[2], -r[4], -r[3], r[0]))
         top = valid[0][1:7]
         x = self.o.extra
         tied = [r for r in valid if all(a - math.sqrt(a) * x <= b + math.sqrt(b) * x for a, b in zip(top, r[1:7]))]
@@ -162,41 +184,65 @@ class _Read:
         return tied
 
 
-def classify(got: DataFrame, probabilities: DataFrame, options: Options | None = None) -> DataFrame:
-    """RESULT rows: the best id of each read with those statistically tied to it; none for a read without candidates."""
-    o = options or Options()
-    return _folded(got, probabilities, o, lambda pdf: pdf.sort_values("pos"))
-
+def _fold(options: Options):
+    """Rows come sorted by read and ord."""
+    names = ["read", "id", *COUNTERS, "sat_frames", "slots", "stopped"]
+    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 6, *[pa.int64()] * 3]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, read, stopped, out = None, None, None, []
+
+        def close() -> None:
+            for r in read.results() or [(None, *[0] * 6)]:
+                out.append((now, *r, read.sat_frames, read.slots, stopped))
+
+        for b in batches:
+            reads, order, misses = (b.column(c).to_numpy() for c in ("read", "ord", "misses"))
+            hits = b.column("hits")
+            at, flat = hits.offsets.to_numpy(), hits.values
+            ids, sat = flat.field("id").to_numpy(), flat.field("saturated").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(reads)) + 1).tolist(), len(reads)] if len(reads) else []
+            for lo, hi in zip(cuts, cuts[1:]):
+                if read is None or reads[lo] != now:
+                    if read is not None:
+                        close()
+                    now, read, stopped = int(reads[lo]), _Read(options), None
+                for j in range(lo, hi):
+                    if stopped is not None:  # a settled read leaves its other frames unread
+                        break
+                    if read.frame(int(misses[j]), [*zip(ids[at[j] : at[j + 1]].tolist(), sat[at[j] : at[j + 1]].tolist())]):
+                        stopped = int(order[j]) + 1
+            if len(out) > 20_000:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+                out.clear()
+        if read is not None:
+            close()
+        if out:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+
+    return run
+
+
+def folded(got: DataFrame, options: Options | None = None) -> DataFrame:
+    """(read, id, six counters, sat_frames, slots, stopped): the best id of each read with those statistically tied to it, an id of null
+    for a read without any; and, of the frames that were looked at until the read was settled, those with a saturated hit, the
+    hit slots, and the number of frames up to then, missed ones counted (null: never settled)."""
+    rows = got.select("read", "ord", "misses", "hits").repartition(shuffle_partitions(got.sparkSession), "read").sortWithinPartitions("read", "ord")
+    return rows.mapInArrow(_fold(options or Options()), FOLDED)
 
-def interleaved(got: DataFrame, mates: DataFrame, probabilities: DataFrame, options: Options | None = None) -> DataFrame:
-    """The same for pairs: frames of the two mates in turn, the longer one's rest after."""
-    both = got.withColumn("mate", F.lit(0)).unionByName(mates.withColumn("mate", F.lit(1)))
 
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["mate", "pos"])
-        return pdf.assign(turn=pdf.groupby("mate").cumcount()).sort_values(["turn", "mate"])
-
-    return _folded(both, probabilities, options or Options(), order)
-
-
-def _folded(got: DataFrame, probabilities: DataFrame, o: Options, order) -> DataFrame:
-    # Each read brings the probabilities of its own ids along, so that no table of all ids is shipped.
-    ids = got.select("read", F.explode("hits").alias("x")).select("read", F.col("x.id").alias("id")).distinct()
-    probs = ids.join(probabilities.select("id", "prob"), "id").groupBy("read").agg(F.collect_list(F.struct("id", "prob")).alias("probs"))
-    rows = got.join(probs, "read", "left")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = pdf["probs"].iloc[0]
-        read = _Read(o, {p["id"]: p["prob"] for p in known} if known is not None else {})
-        for misses, hits in zip(*(order(pdf)[c] for c in ("misses", "hits"))):
-            if read.frame(misses, [(x["id"], x["saturated"]) for x in hits]):
-                break
-        out = pd.DataFrame(read.results(), columns=["id", *COUNTERS, "frameProb"])
-        out.insert(0, "read", pdf["read"].iloc[0])
-        return out
-
-    return rows.groupBy("read").applyInPandas(fold, RESULT)
-
-
-def option_names() -> Iterator[str]:
-    return (f.name for f in fields(Options))
+def classify(got: DataFrame, probabilities: DataFrame, options: Options | None = None) -> DataFrame:
+    """RESULT rows: the best id of each read with those statistically tied to it; none for a read without candidates."""
+    found = folded(got, options).where(F.col("id").isNotNull())
+    probs = probabilities.select(F.col("id").alias("__id"), F.col("prob").alias("frameProb"))
+    return found.join(probs, F.col("id") == F.col("__id"), "left").withColumn("frameProb", F.coalesce("frameProb", F.lit(0.0))).select(*RESULT)
+
+
+def evaluation(frames: DataFrame, got: DataFrame, options: Options | None = None, spaced: bool = False) -> DataFrame:
+    """(read, sat_frames, evaluated) of every read: the frames with a saturated hit, and the slots looked at, until the read was
+    settled. Without spaced seeds each frame, missed or not, counts one more."""
+    per = folded(got, options).groupBy(F.col("read").alias("r")).agg(F.max("sat_frames").alias("sat_frames"), F.max("slots").alias("slots"), F.max("stopped").alias("stopped"))
+    totals = frames.groupBy("read").agg(F.count(F.lit(1)).alias("frames"))
+    more = F.lit(0) if spaced else F.coalesce("stopped", "frames")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    return totals.join(per, F.col("read") == F.col("r"), "left").select("read", zero("sat_frames").alias("sat_frames"), (zero("slots") + more).alias("evaluated"))

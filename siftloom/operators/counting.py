@@ -19,14 +19,14 @@ def tally(rows: DataFrame, element: str, keep: list[str]) -> DataFrame:
     return rows.where(F.col(element).isNotNull()).groupBy(*keep, element).agg(F.count(F.lit(1)).alias("n"))
 
 
-def increment_all(tallied: DataFrame, element: str, keep: list[str], m: Column, h: Column, bits: Column, family: str = "md5_60") -> DataFrame:
+def increment_all(tallied: DataFrame, element: str, keep: list[str], m: Column, h: Column, bits: Column, family: str = hashing.DEFAULT) -> DataFrame:
     """(keep, pos, cnt): each insertion adds one at each of its h positions, twice where two of them are equal; counters stop
     at the largest count of their bits. Sums merge; the limit is applied after them."""
     rows = tallied.select(*keep, "n", bits.alias("__bits"), F.explode(hashing.positions(F.col(element).cast("string"), m, h, family)).alias("pos"))
     return rows.groupBy(*keep, "pos").agg(F.least(F.sum("n"), top(F.max("__bits"))).alias("cnt"))
 
 
-def min_count(probes: DataFrame, element: str, keep: list[str], counters: DataFrame, m: Column, h: Column, carry: list[str] | None = None, family: str = "md5_60") -> DataFrame:
+def min_count(probes: DataFrame, element: str, keep: list[str], counters: DataFrame, m: Column, h: Column, carry: list[str] | None = None, family: str = hashing.DEFAULT) -> DataFrame:
     """(keep, element, carry, min_count) of every distinct probe. carry: columns fixed by keep, such as a threshold."""
     carry = carry or []
     rows = probes.where(F.col(element).isNotNull()).select(*keep, element, *carry, m.alias("__m"), h.alias("__h")).distinct()
@@ -89,21 +89,26 @@ class ConservativeCheck(Conservative):
         return self.answers
 
 
-def conservative(tallied: DataFrame, element: str, keep: list[str], m: Column, h: Column, bits: Column, n_blocks: Column | int = 1, family: str = "md5_60") -> DataFrame:
-    """(keep, block, slot, cnt) of a filter with conservative update; elements are inserted in their own order, all
-    insertions of an element at once. The blocks of a filter are folded side by side."""
-    rows = blocks.placed(tallied.withColumns({"__limit": top(bits), "__m": m, "__h": h}), element, F.col("__m"), F.col("__h"), n_blocks, family)
-    return blocks.folded(rows, [*keep, "block"], [element], ["slots", "n", "__limit"], Conservative, ", ".join(f"{k} string" for k in keep) + ", block bigint, slot bigint, cnt bigint")
+def _blocked(rows: DataFrame, element: str, m: Column, h: Column, n_blocks: Column | int | None, family: str) -> DataFrame:
+    rows = rows.withColumns({"__m": m, "__h": h})
+    return blocks.placed(rows, element, F.col("__m"), F.col("__h"), blocks.number(F.col("__m")) if n_blocks is None else n_blocks, family)
 
 
-def insert_and_check(tallied: DataFrame, element: str, keep: list[str], m: Column, h: Column, bits: Column, threshold: Column, n_blocks: Column | int = 1, family: str = "md5_60") -> DataFrame:
-    """(keep, block, element, n, n_present): how many of the n insertions of each element found it contained."""
-    rows = blocks.placed(tallied.withColumns({"__limit": top(bits), "__m": m, "__h": h, "__t": threshold}), element, F.col("__m"), F.col("__h"), n_blocks, family)
-    return blocks.folded(rows, [*keep, "block"], [element], [element, "slots", "n", "__limit", "__t"], ConservativeCheck, ", ".join(f"{k} string" for k in keep) + f", block bigint, {element} string, n bigint, n_present bigint")
+def conservative(tallied: DataFrame, element: str, keep: list[str], m: Column, h: Column, bits: Column, n_blocks: Column | int | None = None, family: str = hashing.DEFAULT) -> DataFrame:
+    """(keep, pos, cnt) of a filter with conservative update; elements are inserted in their own order, all insertions of an
+    element at once. The blocks of a filter, as many as its size gives, are folded side by side."""
+    rows = _blocked(tallied.withColumn("__limit", top(bits)), element, m, h, n_blocks, family)
+    return blocks.folded(rows, [*keep, "block"], [element], ["slots", "n", "__limit"], Conservative, ", ".join(f"{k} string" for k in keep) + ", block bigint, pos bigint, cnt bigint").drop("block")
 
 
-def conservative_min_count(probes: DataFrame, element: str, keep: list[str], counters: DataFrame, m: Column, h: Column, n_blocks: Column | int = 1, family: str = "md5_60") -> DataFrame:
+def insert_and_check(tallied: DataFrame, element: str, keep: list[str], m: Column, h: Column, bits: Column, threshold: Column, n_blocks: Column | int | None = None, family: str = hashing.DEFAULT) -> DataFrame:
+    """(keep, element, n, n_present): how many of the n insertions of each element found it contained."""
+    rows = _blocked(tallied.withColumns({"__limit": top(bits), "__t": threshold}), element, m, h, n_blocks, family)
+    return blocks.folded(rows, [*keep, "block"], [element], [element, "slots", "n", "__limit", "__t"], ConservativeCheck, ", ".join(f"{k} string" for k in keep) + f", block bigint, {element} string, n bigint, n_present bigint").drop("block")
+
+
+def conservative_min_count(probes: DataFrame, element: str, keep: list[str], counters: DataFrame, m: Column, h: Column, n_blocks: Column | int | None = None, family: str = hashing.DEFAULT) -> DataFrame:
     """(keep, element, min_count) against a filter of conservative()."""
     rows = probes.where(F.col(element).isNotNull()).select(*keep, element, m.alias("__m"), h.alias("__h")).distinct()
-    at = blocks.placed(rows, element, F.col("__m"), F.col("__h"), n_blocks, family).select(*keep, element, "block", F.explode("slots").alias("slot"))
-    return at.join(counters, [*keep, "block", "slot"], "left").groupBy(*keep, element).agg(F.min(F.coalesce("cnt", F.lit(0))).alias("min_count"))
+    at = _blocked(rows, element, F.col("__m"), F.col("__h"), n_blocks, family).select(*keep, element, F.explode("slots").alias("pos"))
+    return at.join(counters, [*keep, "pos"], "left").groupBy(*keep, element).agg(F.min(F.coalesce("cnt", F.lit(0))).alias("min_count"))

@@ -1,10 +1,15 @@
 """Multi-index filters: a bit vector, the rank of each set bit, and one source id per rank, as relations.
 
 frames: (seq, pos, elem, id): windows of sequences with the id of their source, ids above 0. slots: (pos, rank, id, obs,
-saturated). Everything that does not depend on order is a group-by, a window over a rank or a join on position."""
+saturated). Everything that does not depend on order is a group-by, a window over a rank or a join on position. What does, is
+folded block by block: m positions are cut into blocks, and all positions of an element lie in one of them. blocks = 1, the
+default, is the flat layout. The family hashing.seeded() makes an index of spaced seeds, which has the flat layout only, as the
+hash of a seed must not depend on the letters that the seed leaves out."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,28 +26,34 @@ def parse_seed(seed: Column) -> Column:
     return F.filter(F.sequence(F.lit(0), F.length(seed) - 1), lambda j: seed.substr(j + 1, F.lit(1)) == "0")
 
 
-def hashed(frames: DataFrame, m: int, h: int, family: str = "md5_60") -> DataFrame:
+def hashed(frames: DataFrame, m: int, h: int, family: str = hashing.DEFAULT, blocks_: int = 1) -> DataFrame:
     """(seq, pos0, id, elem, i, hash, pos): one row a hash value."""
-    values = frames.select("seq", F.col("pos").alias("pos0"), "id", "elem", F.posexplode(hashing.hashes(F.col("elem"), h, family)).alias("i", "hash"))
-    return values.withColumn("pos", hashing.unsigned_mod(F.col("hash"), m))
+    values = frames.select("seq", F.col("pos").alias("pos0"), "id", "elem", hashing.hashes(F.col("elem"), h, family).alias("hashes"))
+    both = values.select("seq", "pos0", "id", "elem", F.posexplode(F.arrays_zip(F.col("hashes").alias("hash"), hashing.placed(F.col("hashes"), m, blocks_).alias("pos"))).alias("i", "x"))
+    return both.select("seq", "pos0", "id", "elem", "i", "x.hash", "x.pos")
 
 
-def bit_vector(frames: DataFrame, m: int, h: int, family: str = "md5_60") -> DataFrame:
+def bit_vector(frames: DataFrame, m: int, h: int, family: str = hashing.DEFAULT, blocks_: int = 1) -> DataFrame:
     """(pos): set bits; elements are taken distinct before they are hashed."""
-    return frames.select("elem").distinct().select(F.explode(hashing.positions(F.col("elem"), m, h, family)).alias("pos")).distinct()
+    return frames.select("elem").distinct().select(F.explode(hashing.positions(F.col("elem"), m, h, family, blocks_)).alias("pos")).distinct()
 
 
-def collisions(frames: DataFrame, m: int, h: int, family: str = "md5_60") -> DataFrame:
+def collisions(frames: DataFrame, m: int, h: int, family: str = hashing.DEFAULT, blocks_: int = 1) -> DataFrame:
     """(seq, frames, full, bits_set): per sequence its frames, those whose bits were all set when they came, and the number of
     their bits that were set. Frames come in the order (seq, pos); a bit counts as set within its own frame only by an
-    earlier hash."""
+    earlier hash. After the first frame of an element all others find its bits set, so only first frames are looked up."""
+    first = frames.groupBy("elem").agg(F.min(F.struct("seq", "pos")).alias("f")).select("elem", "f.seq", "f.pos", F.lit(0).alias("id"))
     at = F.struct("seq", "pos0", "i")
-    rows = hashed(frames, m, h, family).select(at.alias("at"), "seq", "pos0", "pos")
-    first = rows.groupBy("pos").agg(F.min("at").alias("first"))
-    per = rows.join(first, "pos").groupBy("seq", "pos0").agg(
-        F.max(F.struct("first.seq", "first.pos0")).alias("latest"), F.count_if(F.col("first") < F.col("at")).alias("bits_set")
+    rows = hashed(first, m, h, family, blocks_).select(at.alias("at"), "seq", "pos0", "pos")
+    setters = rows.groupBy("pos").agg(F.min("at").alias("setter"))
+    per = rows.join(setters, "pos").groupBy("seq", "pos0").agg(
+        F.max(F.struct("setter.seq", "setter.pos0")).alias("latest"), F.count_if(F.col("setter") < F.col("at")).alias("bits_set")
     )
-    return per.groupBy("seq").agg(F.count(F.lit(1)).alias("frames"), F.count_if(F.col("latest") < F.struct("seq", "pos0")).alias("full"), F.sum("bits_set").alias("bits_set"))
+    found = per.groupBy("seq").agg(F.count(F.lit(1)).alias("new"), F.count_if(F.col("latest") < F.struct("seq", "pos0")).alias("full"), F.sum("bits_set").alias("bits"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    again = F.col("frames") - zero("new")
+    out = frames.groupBy("seq").agg(F.count(F.lit(1)).alias("frames")).join(found, "seq", "left")
+    return out.select("seq", "frames", (zero("full") + again).alias("full"), (zero("bits") + again * h).alias("bits_set"))
 
 
 def ranks(bits: DataFrame) -> DataFrame:
@@ -57,14 +68,14 @@ def ranks(bits: DataFrame) -> DataFrame:
     return ranked.select(*bits.columns, (F.col("__before") + F.col("__inside")).cast("bigint").alias("rank"))
 
 
-def reservoir(frames: DataFrame, m: int, h: int, family: str = "md5_60") -> DataFrame:
+def reservoir(frames: DataFrame, m: int, h: int, family: str = hashing.DEFAULT, blocks_: int = 1) -> DataFrame:
     """(pos, rank, id, obs): each rank's id by reservoir sampling over its observations.
 
     A sequence observes each of its distinct hash values once; observations of a rank are numbered in the order of
     sequence, id and hash. Number c takes the rank if (hash xor id) mod c is c - 1, so the first always does; the last taker
     stays. Observations are shuffled once, by rank and stride of sequences, so that no task gets all of a hot rank; the
     strides' sizes are summed first."""
-    obs = hashed(frames, m, h, family).select("seq", "id", "hash", "pos").withColumn("stride", F.expr(f"seq div {STRIDE}"))
+    obs = hashed(frames, m, h, family, blocks_).select("seq", "id", "hash", "pos").withColumn("stride", F.expr(f"seq div {STRIDE}"))
     obs = obs.repartition("pos", "stride").distinct()
     sizes = obs.groupBy("pos", "stride").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("pos").orderBy("stride").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -76,25 +87,26 @@ def reservoir(frames: DataFrame, m: int, h: int, family: str = "md5_60") -> Data
     return ranks(taken).select("pos", "rank", "id", "obs")
 
 
-def first_writer(frames: DataFrame, m: int, h: int, family: str = "md5_60") -> DataFrame:
+def first_writer(frames: DataFrame, m: int, h: int, family: str = hashing.DEFAULT, blocks_: int = 1) -> DataFrame:
     """(pos, id): the id of the first frame, by (seq, pos), that touches an empty slot."""
-    return hashed(frames, m, h, family).groupBy("pos").agg(F.min_by("id", F.struct("seq", "pos0", "id")).alias("id"))
+    return hashed(frames, m, h, family, blocks_).groupBy("pos").agg(F.min_by("id", F.struct("seq", "pos0", "id")).alias("id"))
 
 
-def saturated(slots: DataFrame, frames: DataFrame, m: int, h: int, family: str = "md5_60") -> DataFrame:
+def saturated(slots: DataFrame, frames: DataFrame, m: int, h: int, family: str = hashing.DEFAULT) -> DataFrame:
     """slots with a saturated flag: all slots of a frame in which its own id did not survive, judged by the given slots.
 
-    The one-pass form of saturation: it replaces no ids and so needs no order. saturate_in_order() replaces and needs one."""
+    The one-pass form of saturation: it replaces no ids and so needs no order, for indexes whose elements do not keep to blocks,
+    as those of spaced seeds. built() replaces and needs one."""
     rows = hashed(frames.select(F.lit(0).alias("seq"), F.lit(0).alias("pos"), "elem", "id").distinct(), m, h, family).select("elem", F.col("id").alias("own"), "pos")
     lost = rows.join(slots.select("pos", "id"), "pos").groupBy("elem", "own").agg(F.bool_or(F.col("id") == F.col("own")).alias("kept"), F.collect_set("pos").alias("at")).where(~F.col("kept"))
     marks = lost.select(F.explode("at").alias("pos")).distinct().withColumn("hit", F.lit(True))
     return slots.join(marks, "pos", "left").withColumn("saturated", F.coalesce("hit", F.lit(False))).drop("hit")
 
 
-def lookup(probes: DataFrame, elem: str, slots: DataFrame, m: int, h: int, family: str = "md5_60") -> DataFrame:
+def lookup(probes: DataFrame, elem: str, slots: DataFrame, m: int, h: int, family: str = hashing.DEFAULT, blocks_: int = 1) -> DataFrame:
     """(elem, i, pos, rank, id, saturated) for every hash of every distinct probe; rank and id are null where the bit is not set."""
     rows = probes.select(F.col(elem).alias("elem")).where(F.col("elem").isNotNull()).distinct()
-    at = rows.select("elem", F.posexplode(hashing.positions(F.col("elem"), m, h, family)).alias("i", "pos"))
+    at = rows.select("elem", F.posexplode(hashing.positions(F.col("elem"), m, h, family, blocks_)).alias("i", "pos"))
     return at.join(slots.select("pos", "rank", "id", "saturated"), "pos", "left").select("elem", "i", "pos", "rank", "id", "saturated")
 
 
@@ -117,6 +129,11 @@ def id_counts(slots: DataFrame) -> DataFrame:
     return slots.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_if("saturated").alias("n_saturated"))
 
 
+def id_counts_strand(slots: DataFrame) -> DataFrame:
+    """(id, n, n_strand, n_saturated) of an index with strands: slots by id whatever their strand, and those with the strand bit."""
+    return slots.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_if("strand").alias("n_strand"), F.count_if("saturated").alias("n_saturated"))
+
+
 def stats(slots: DataFrame, h: int) -> DataFrame:
     """(pop, pop_nonzero, pop_saturated, prob_saturated): all set bits, those with an id, the saturated ones; 0 when empty."""
     out = slots.agg(F.count(F.lit(1)).alias("pop"), F.count_if(F.col("id") != 0).alias("pop_nonzero"), F.count_if("saturated").alias("pop_saturated"))
@@ -198,66 +215,121 @@ class InsertStrand(Insert):
         return [(s, self.ids.get(s, 0) & (STRAND - 1), bool(self.ids.get(s, 0) & STRAND), s in self.full) for s in sorted(self.ids.keys() | self.full)]
 
 
-SLOTS = "block bigint, slot bigint, id bigint, strand boolean, saturated boolean"
+SLOTS = "block bigint, pos bigint, id bigint, strand boolean, saturated boolean"
+
+
+def _firsts(frames: DataFrame, extra: list[str]) -> DataFrame:
+    """The first frame of each element and id (and of what else tells frames apart). A later one changes nothing that the first left
+    as it is, and a repeated element would make its block long."""
+    key = ["elem", "id", *extra]
+    return frames.groupBy(*key).agg(F.min(F.struct("seq", "pos")).alias("f")).select(*key, "f.seq", "f.pos")
+
 
+def _tried(rows: DataFrame, *carried: str) -> DataFrame:
+    """The slots of a frame, and what is carried beside them, in the order in which they are tried: by hash xor id, then by hash number."""
+    parts = F.arrays_zip(F.col("slots").alias("s"), F.transform("hashes", lambda v, i: F.struct(v.bitwiseXOR(F.col("id")).alias("k"), i.alias("i"))).alias("k"), *[F.col(c).alias(c) for c in carried])
+    ordered = F.array_sort(F.transform(parts, lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), *[x[c].alias(c) for c in carried])))
+    return rows.withColumn("__p", ordered).withColumns({"slots": F.transform("__p", lambda x: x["s"]), **{c: F.col(f"__p.{c}") for c in carried}})
 
-def insert(frames: DataFrame, m: int, h: int, most: int, n_blocks: int, family: str = "md5_60") -> DataFrame:
-    """(block, slot, id, strand, saturated) after all frames, in the order (seq, pos). The slots of an element are tried in an order
-    of their own, by hash of id and slot."""
-    rows = blocks.placed(frames.withColumn("most", F.lit(most)), "elem", m, h, n_blocks, family)
-    shuffled = F.array_sort(F.transform("slots", lambda s: F.struct(F.xxhash64("id", s).alias("k"), s.alias("s"))))
-    rows = rows.withColumn("slots", F.transform(shuffled, lambda x: x["s"]))
-    return blocks.folded(rows, ["block"], ["seq", "pos", "id"], ["slots", "id", "most"], Insert, SLOTS)
 
+def insert(frames: DataFrame, m: int, h: int, most: int, n_blocks: int | None = None, family: str = hashing.DEFAULT) -> DataFrame:
+    """(pos, id, strand, saturated) after all frames, in the order (seq, pos)."""
+    rows = blocks.placed(_firsts(frames, []).withColumn("most", F.lit(most)), "elem", m, h, n_blocks or blocks.number(m), family)
+    return blocks.folded(_tried(rows), ["block"], ["seq", "pos", "id"], ["slots", "id", "most"], Insert, SLOTS).drop("block")
 
-def insert_strand(frames: DataFrame, m: int, h: int, most: int, n_blocks: int, family: str = "md5_60") -> DataFrame:
+
+def insert_strand(frames: DataFrame, m: int, h: int, most: int, n_blocks: int | None = None, family: str = hashing.DEFAULT) -> DataFrame:
     """The same for frames with a column strands (array of h booleans)."""
-    rows = blocks.placed(frames.withColumn("most", F.lit(most)), "elem", m, h, n_blocks, family)
-    pairs = F.array_sort(F.zip_with("slots", "strands", lambda s, d: F.struct(F.xxhash64("id", s).alias("k"), s.alias("s"), d.alias("d"))))
-    rows = rows.withColumn("__p", pairs).withColumns({"slots": F.transform("__p", lambda x: x["s"]), "strands": F.transform("__p", lambda x: x["d"])})
-    return blocks.folded(rows, ["block"], ["seq", "pos", "id"], ["slots", "id", "most", "strands"], InsertStrand, SLOTS)
+    rows = blocks.placed(_firsts(frames, ["strands"]).withColumn("most", F.lit(most)), "elem", m, h, n_blocks or blocks.number(m), family)
+    return blocks.folded(_tried(rows, "strands"), ["block"], ["seq", "pos", "id", "strands"], ["slots", "id", "most", "strands"], InsertStrand, SLOTS).drop("block")
 
 
 class Saturate:
-    """After a reservoir pass over the block: a frame whose id is in none of its slots takes over one whose id it has twice (or
-    that is empty), the one with the most observations; without such a slot all its slots are saturated."""
+    """The last phase over a block whose slots a reservoir pass has filled: a frame whose id is in none of its slots takes over one
+    whose id it has twice (or that is empty), the one with the most observations; without such a slot all its slots are
+    saturated. A frame sees what the frames before it changed."""
 
     def __init__(self):
         self.ids: dict[int, int] = {}
         self.obs: dict[int, int] = {}
+        self.rank: dict[int, int] = {}
         self.full: set[int] = set()
-        self.frames: list[tuple[list[int], int]] = []
-
-    def step(self, slots: list[int], hashes: list[int], id_: int, fresh: list[bool]) -> None:
-        for s, v, new in zip(slots, hashes, fresh):
-            if new:
-                c = self.obs[s] = self.obs.get(s, 0) + 1
-                if ((v ^ id_) & hashing.MASK) % c == c - 1:
-                    self.ids[s] = id_
-        self.frames.append((slots, id_))
-
-    def settle(self) -> None:
-        for slots, id_ in self.frames:
-            held = [self.ids.get(s, 0) for s in slots]
-            if id_ in held:
-                continue
-            spare = [s for s, x in zip(slots, held) if (x == 0 or held.count(x) > 1) and self.obs.get(s, 0) > 0]
-            if spare:
-                s = max(spare, key=lambda x: self.obs[x])
-                self.ids[s] = id_
-                self.obs[s] += 1
-            else:
-                self.full.update(slots)
-
-    def rows(self):
-        self.settle()
-        return [(s, self.ids.get(s, 0), self.obs.get(s, 0), s in self.full) for s in sorted(self.ids.keys() | self.full)]
 
+    def step(self, rank: int | None, slots: list[int], id_: int, obs: int) -> None:
+        if rank is not None:
+            s = slots[0]
+            self.ids[s], self.obs[s], self.rank[s] = id_, obs, rank
+            return
+        held = [self.ids.get(s, 0) for s in slots]
+        if id_ in held:
+            return
+        spare = [s for s, x in zip(slots, held) if (x == 0 or held.count(x) > 1) and self.obs.get(s, 0) > 0]
+        if spare:
+            s = max(spare, key=lambda x: self.obs[x])
+            self.ids[s] = id_
+            self.obs[s] += 1
+        else:
+            self.full.update(slots)
 
-def saturate_in_order(frames: DataFrame, m: int, h: int, n_blocks: int, family: str = "md5_60") -> DataFrame:
-    """(block, slot, id, obs, saturated): reservoir pass, then saturation in the order (seq, pos), both within the block. A sequence
-    observes each of its distinct elements once."""
-    rows = blocks.placed(frames, "elem", m, h, n_blocks, family).withColumn("hashes", hashing.hashes(F.col("elem"), h, family))
-    again = F.row_number().over(Window.partitionBy("seq", "id", "elem").orderBy("pos")) > 1
-    rows = rows.withColumn("again", again).withColumn("fresh", F.transform("hashes", lambda v: ~F.col("again")))
-    return blocks.folded(rows, ["block"], ["seq", "pos", "id"], ["slots", "hashes", "id", "fresh"], Saturate, "block bigint, slot bigint, id bigint, obs bigint, saturated boolean")
+    def rows(self):
+        return [(s, self.rank[s], x, self.obs[s], s in self.full) for s, x in self.ids.items()]
+
+
+def built(frames: DataFrame, m: int, h: int, n_blocks: int | None = None, family: str = hashing.DEFAULT) -> DataFrame:
+    """(pos, rank, id, obs, saturated): the whole index, of a reservoir pass over all frames and then of the saturation of those
+    whose id did not survive, in the order of the first frame of each element and id."""
+    n_blocks = n_blocks or blocks.number(m)
+    taken = reservoir(frames, m, h, family, n_blocks)
+    per = max(1, m // n_blocks)
+    slots = taken.select(F.expr(f"pos div {per}").alias("block"), F.lit(0).alias("phase"), F.lit(0).cast("bigint").alias("seq"), F.col("pos").alias("at"), "id", "rank", F.array("pos").alias("slots"), "obs")
+    rows = blocks.placed(_firsts(frames, []), "elem", m, h, n_blocks, family)
+    none = F.lit(None).cast("bigint")
+    marks = rows.select("block", F.lit(1).alias("phase"), F.col("seq").cast("bigint").alias("seq"), F.col("pos").cast("bigint").alias("at"), "id", none.alias("rank"), "slots", none.alias("obs"))
+    return blocks.folded(slots.unionByName(marks), ["block"], ["phase", "seq", "at", "id"], ["rank", "slots", "id", "obs"], Saturate, "block bigint, pos bigint, rank bigint, id bigint, obs bigint, saturated boolean").drop("block")
+
+
+class IndexBuilder:
+    """The phases of an index in their order: bits, then ids, then saturation; a phase that is out of turn is refused."""
+
+    def __init__(self, expected: int, h: int, occupancy: float, family: str = hashing.DEFAULT):
+        from siftloom.operators.filters import padded
+
+        if not 0 < occupancy < 1:
+            raise ValueError("the occupancy lies between 0 and 1")
+        self.h, self.family = h, family
+        self.m = padded(-expected * h / math.log(1 - occupancy))
+        self._bits: DataFrame | None = None
+        self._frames: DataFrame | None = None
+        self._closed = self._done = False
+
+    def _need(self, good: bool, what: str) -> None:
+        if not good:
+            raise RuntimeError(what)
+
+    def insert_bits(self, frames: DataFrame) -> None:
+        self._need(not self._closed, "the bit vector is closed")
+        bits = bit_vector(frames, self.m, self.h, self.family, self.blocks)
+        self._bits = bits if self._bits is None else self._bits.unionByName(bits).distinct()
+
+    @property
+    def blocks(self) -> int:
+        return 1 if self.family.startswith("seeds:") else blocks.number(self.m)
+
+    def empty(self) -> DataFrame:
+        """(pos, rank) of the index without ids; closes the bit vector."""
+        self._need(self._bits is not None and not self._closed, "an index is made once, of a bit vector")
+        self._closed = True
+        return ranks(self._bits)
+
+    def insert(self, frames: DataFrame) -> None:
+        """Frames of the bits inserted before."""
+        self._need(self._closed and not self._done, "ids follow the bit vector and come before the saturation")
+        self._frames = frames if self._frames is None else self._frames.unionByName(frames)
+
+    def saturate(self) -> DataFrame:
+        """The slots of the index."""
+        self._need(self._frames is not None and not self._done, "saturation follows the ids, once")
+        self._done = True
+        if self.family.startswith("seeds:"):
+            return saturated(reservoir(self._frames, self.m, self.h, self.family), self._frames, self.m, self.h, self.family)
+        return built(self._frames, self.m, self.h, self.blocks, self.family)

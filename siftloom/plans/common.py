@@ -44,7 +44,26 @@ def rev(x: str) -> str:
 
 
 def sql_hash(x: str, i: str) -> str:
-    return f"('0x' || substr(md5({i} || ':' || {x}), 1, 15))::BIGINT"
+    """hashing.md5_pair in SQL."""
+    return f"(('0x' || substr(md5({x}), 1, 15))::BIGINT + {i} * (('0x' || substr(md5({x}), 16, 13))::BIGINT | 1))"
+
+
+def sql_block(x: str, blocks: str) -> str:
+    """hashing.block_of in SQL."""
+    return f"((('0x' || substr(md5({x}), 1, 15))::BIGINT >> 30) % ({blocks}))"
+
+
+def _sql_padded(v: str) -> str:
+    return f"(SELECT v + (64 - v % 64) FROM (SELECT floor({v})::BIGINT AS v))"
+
+
+def sql_optimal_size(n: str, fpr: float, h: int) -> str:
+    """sizing.optimal_size in SQL; n is a scalar."""
+    return _sql_padded(f"-({n})::DOUBLE * {h} / ln(1 - pow({fpr}::DOUBLE, 1.0::DOUBLE / {h}))")
+
+
+def sql_size_from_occupancy(n: str, occupancy: float, h: int) -> str:
+    return _sql_padded(f"-({n})::DOUBLE * {h} / ln(1 - {occupancy}::DOUBLE)")
 
 
 SQL_CONTIGS = f"contigs AS (SELECT DISTINCT seq_id, coalesce(id, 0) AS id, filter_id, {CLEAN} AS seq FROM contig)"

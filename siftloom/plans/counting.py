@@ -7,16 +7,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftloom.operators import counting
-from siftloom.plans.common import SQL_INSERTED, inserted, sql_hash
+from siftloom.functions import hashing
+from siftloom.operators import blocks, counting
+from siftloom.operators.filters import CountingFilter
+from siftloom.plans.common import SQL_INSERTED, inserted, sql_block, sql_hash
 from siftloom.plans.membership import _path
-from siftloom.session import table
+from siftloom.session import durable, table
 from siftloom.sources import filterfile
 
 #: Where a header names no number of hashes.
 DEFAULT_H = 4
-#: Blocks of the filters that are folded in order.
-BLOCKS = 16
+#: Size of the filter that is built from its bytes; no multiple of 8.
+BYTES = 100_001
 
 
 def _headers(spark: SparkSession, d: str) -> DataFrame:
@@ -38,11 +40,9 @@ def cbf_increment_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cbf_counters(spark: SparkSession, d: str) -> DataFrame:
-    """The counter at the first position of each element."""
-    from siftloom.functions import hashing
-
-    first = _tallied(spark, d).select("filter_id", "element", hashing.unsigned_mod(hashing.md5_60(F.col("element"), 0), F.col("m")).alias("pos"))
-    return first.join(_counters(spark, d), ["filter_id", "pos"], "left").select("filter_id", "element", "pos", F.coalesce("cnt", F.lit(0)).alias("cnt"))
+    """The counter at every position of each element, by the number of the hash."""
+    at = _tallied(spark, d).select("filter_id", "element", F.posexplode(hashing.positions(F.col("element"), F.col("m"), F.col("h"))).alias("i", "pos"))
+    return at.join(_counters(spark, d), ["filter_id", "pos"], "left").select("filter_id", "element", F.col("i").cast("bigint").alias("i"), "pos", F.coalesce("cnt", F.lit(0)).alias("cnt"))
 
 
 def _min_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -69,16 +69,23 @@ def cbf_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cbf_conservative(spark: SparkSession, d: str) -> DataFrame:
-    return counting.conservative(_tallied(spark, d), "element", ["filter_id"], F.col("m"), F.col("h"), F.col("bits"), BLOCKS)
+    return counting.conservative(_tallied(spark, d), "element", ["filter_id"], F.col("m"), F.col("h"), F.col("bits"))
 
 
 def cbf_insert_and_check(spark: SparkSession, d: str) -> DataFrame:
-    return counting.insert_and_check(_tallied(spark, d), "element", ["filter_id"], F.col("m"), F.col("h"), F.col("bits"), F.col("threshold"), BLOCKS).drop("block")
+    return counting.insert_and_check(_tallied(spark, d), "element", ["filter_id"], F.col("m"), F.col("h"), F.col("bits"), F.col("threshold"))
+
+
+def cbf_of_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """Elements asked of a filter of 100,001 bytes and 16-bit counters over all rows, whatever their filter."""
+    rows = inserted(spark, d)
+    f = CountingFilter.of_bytes(rows, "element", BYTES, DEFAULT_H, 31, threshold=2, bits=16)
+    return f.min_count(rows, "element").select("element", "min_count", (F.col("min_count") >= f.threshold).alias("hit"), F.lit(f.shape.m).cast("bigint").alias("m"))
 
 
 def cbf_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Counters of every filter after they were stored, each in its file, and loaded. Headers are few: one file each."""
-    counters, out = _counters(spark, d), None
+    counters, out = durable(_counters(spark, d), "counters"), None
     for f in _headers(spark, d).orderBy("filter_id").toLocalIterator():
         path = _path(spark, f"counters-{uuid.uuid4().hex}")
         filterfile.write_counting_filter(path, counters.where(F.col("filter_id") == f.filter_id), f.m, f.h, 31, f.bits)
@@ -87,7 +94,7 @@ def cbf_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-QUERIES = (cbf_increment_all, cbf_counters, cbf_min_count, cbf_contains, cbf_semi_join, cbf_stats, cbf_conservative, cbf_insert_and_check, cbf_roundtrip)
+QUERIES = (cbf_increment_all, cbf_counters, cbf_min_count, cbf_contains, cbf_semi_join, cbf_stats, cbf_conservative, cbf_insert_and_check, cbf_of_bytes, cbf_roundtrip)
 
 _BASE = f"""WITH {SQL_INSERTED},
 headers AS (SELECT filter_id, BloomFilterSize AS m, coalesce(HashNum, {DEFAULT_H}) AS h, BitsPerCounter AS bits, threshold FROM counting_filter),
@@ -96,9 +103,38 @@ placed AS (SELECT filter_id, element, n, i, bits, threshold, {sql_hash("element"
 counters AS (SELECT filter_id, pos, least(sum(n), pow(2, max(bits)) - 1)::BIGINT AS cnt FROM placed GROUP BY filter_id, pos),
 mins AS (SELECT filter_id, element, threshold, min(cnt) AS min_count FROM placed JOIN counters USING (filter_id, pos) GROUP BY ALL)"""
 
+#: Conservative update: step by step, the n-th element of every block at once. `state` keeps one row a counter, the last
+#: one wins; the row at -1 counts the steps, those
+#: below it keep the minimum that each element found.
+_FOLDED = f"""{_BASE.replace("WITH ", "WITH RECURSIVE ", 1)},
+own AS (SELECT filter_id, element, n, h, m, pow(2, bits)::BIGINT - 1 AS top, threshold, greatest(m // {blocks.SLOTS}, 1) AS b FROM tallied JOIN headers USING (filter_id)),
+located AS (SELECT *, {sql_block("element", "b")} AS block, m // b AS per FROM own),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY filter_id, block ORDER BY element) AS turn, row_number() OVER () AS eid, dense_rank() OVER (ORDER BY filter_id) * 1000000000000 AS base FROM located),
+steps AS MATERIALIZED (SELECT turn, list(struct_pack(eid := eid, n := n, top := top,
+  slots := list_transform(range(0, h), lambda i: base + block * per + {sql_hash("element", "i")} % per))) AS xs FROM ordered GROUP BY turn),
+state(slot, cnt) USING KEY (slot) AS (
+  SELECT -1::BIGINT, 0::BIGINT
+  UNION ALL
+  (WITH now AS (SELECT cnt + 1 AS turn FROM state WHERE slot = -1),
+   x AS (SELECT unnest(xs) AS x FROM steps JOIN now USING (turn)),
+   s AS (SELECT x.eid AS eid, x.n AS n, x.top AS top, unnest(x.slots) AS slot FROM x),
+   v AS (SELECT s.*, coalesce(r.cnt, 0) AS cnt FROM s LEFT JOIN recurring.state r USING (slot)),
+   t AS (SELECT eid, slot, cnt, min(cnt) OVER (PARTITION BY eid) AS found, least(min(cnt) OVER (PARTITION BY eid) + n, top) AS target FROM v)
+   SELECT slot, target FROM t WHERE cnt < target
+   UNION ALL SELECT DISTINCT -1 - eid, found FROM t
+   UNION ALL SELECT -1, turn FROM now WHERE turn <= (SELECT max(turn) FROM steps)))"""
+
 ORACLES = {
+    "cbf_conservative": _FOLDED + """, names AS (SELECT DISTINCT filter_id, base FROM ordered)
+SELECT filter_id, slot - base AS pos, cnt FROM state JOIN names ON slot // 1000000000000 = base // 1000000000000 WHERE slot >= 0""",
+    "cbf_insert_and_check": _FOLDED + """ SELECT filter_id, element, n, greatest(0, n - CASE WHEN threshold <= top THEN greatest(0, threshold - cnt) ELSE n END)::BIGINT AS n_present
+FROM ordered JOIN state ON slot = -1 - eid""",
+    "cbf_of_bytes": f"""WITH {SQL_INSERTED}, tallied AS (SELECT element, count(*) AS n FROM inserted GROUP BY element),
+placed AS (SELECT element, n, {sql_hash("element", "i")} % {(BYTES + 7) // 8 * 8 // 2} AS pos FROM tallied, (SELECT unnest(range(0, {DEFAULT_H})) AS i)),
+counters AS (SELECT pos, least(sum(n), 65535)::BIGINT AS cnt FROM placed GROUP BY pos)
+SELECT element, min(cnt) AS min_count, min(cnt) >= 2 AS hit, {(BYTES + 7) // 8 * 8 // 2}::BIGINT AS m FROM placed JOIN counters USING (pos) GROUP BY element""",
     "cbf_increment_all": _BASE + " SELECT * FROM counters",
-    "cbf_counters": _BASE + " SELECT filter_id, element, pos, cnt FROM placed JOIN counters USING (filter_id, pos) WHERE i = 0",
+    "cbf_counters": _BASE + " SELECT filter_id, element, i, pos, cnt FROM placed JOIN counters USING (filter_id, pos)",
     "cbf_min_count": _BASE + " SELECT filter_id, element, min_count FROM mins",
     "cbf_contains": _BASE + " SELECT filter_id, element, min_count >= threshold AS hit FROM mins",
     "cbf_semi_join": _BASE + " SELECT seq_id, pos, filter_id, element FROM inserted SEMI JOIN (SELECT filter_id, element FROM mins WHERE min_count >= threshold) USING (filter_id, element)",

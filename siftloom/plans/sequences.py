@@ -9,15 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftloom.functions import dna, hashing, sizing
-from siftloom.operators import bloom, kmers, multiindex
-from siftloom.plans.common import K, SQL_CONTIGS, SQL_INSERTED, SQL_KMERS, contig_kmers, contigs, inserted, rev, sql_hash
-from siftloom.session import shared_dir, table
+from siftloom.operators import bloom, hot, kmers, multiindex
+from siftloom.operators.filters import BitFilter, Shape
+from siftloom.plans.common import K, SQL_CONTIGS, SQL_INSERTED, SQL_KMERS, contig_kmers, contigs, inserted, rev, sql_hash, sql_optimal_size
+from siftloom.session import durable, shared_dir, table
 from siftloom.sources import fasta
 
-#: The filter over all k-mers of contigs with a source.
-M, H = 1 << 20, 3
-#: Word length of the rotating hash queries.
-SHORT = 15
+#: The filter over all k-mers of contigs with a source, which is sized by them.
+FPR, H = 0.01, 3
 
 
 def fasta_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -46,32 +45,30 @@ def _words(spark: SparkSession, d: str) -> DataFrame:
     return inserted(spark, d).select("element").distinct()
 
 
+def _strands(spark: SparkSession, d: str) -> DataFrame:
+    """(kmer, f, r, c): forward, reverse and canonical hash of every element."""
+    forward, reverse, canonical = hashing.strand_hashes(F.col("kmer"), K)
+    return _words(spark, d).select(F.col("element").alias("kmer")).withColumns({"f": forward, "r": reverse}).withColumn("c", hashing.unsigned_least(F.col("f"), F.col("r")))
+
+
 def kmer_hash(spark: SparkSession, d: str) -> DataFrame:
-    """Forward, reverse and canonical hash of the first letters of every element, as hex."""
-    words = _words(spark, d).select(F.substring("element", 1, SHORT).alias("kmer")).distinct()
-    forward, reverse, canonical = hashing.strand_hashes(F.col("kmer"), SHORT)
-    return words.select("kmer", F.hex(forward).alias("fwd"), F.hex(reverse).alias("rev"), F.hex(canonical).alias("hash"))
+    """Forward, reverse and canonical hash of every element, as hex."""
+    return _strands(spark, d).select("kmer", F.hex("f").alias("fwd"), F.hex("r").alias("rev"), F.hex("c").alias("hash"))
 
 
 def multi_hash(spark: SparkSession, d: str) -> DataFrame:
-    words = _words(spark, d).select(F.substring("element", 1, SHORT).alias("kmer")).distinct()
-    canonical = hashing.strand_hashes(F.col("kmer"), SHORT)[2]
-    return words.withColumn("c", canonical).select("kmer", F.posexplode(hashing.xor_hashes(F.col("c"), 4)).alias("i", "h")).select("kmer", "i", F.hex("h").alias("hash"))
+    return _strands(spark, d).select("kmer", F.posexplode(hashing.xor_hashes(F.col("c"), 4)).alias("i", "h")).select("kmer", "i", F.hex("h").alias("hash"))
 
 
 def kmer_hash_ext(spark: SparkSession, d: str) -> DataFrame:
-    """Hashes of whole elements, all of K letters."""
-    words = _words(spark, d).select(F.col("element").alias("kmer"))
-    canonical = hashing.strand_hashes(F.col("kmer"), K)[2]
-    return words.withColumn("c", canonical).select("kmer", F.posexplode(hashing.extended_hashes(F.col("c"), K, 4)).alias("i", "hash"))
+    """Hashes of the multiplicative family, as hex."""
+    return _strands(spark, d).select("kmer", F.posexplode(hashing.extended_hashes(F.col("c"), K, 4)).alias("i", "h")).select("kmer", "i", F.hex("h").alias("hash"))
 
 
 def bit_positions(spark: SparkSession, d: str) -> DataFrame:
     """Positions of the full 64-bit canonical hash, read as unsigned, in a size that is no power of two."""
-    words = _words(spark, d).select(F.substring("element", 1, SHORT).alias("kmer")).distinct()
-    canonical = hashing.strand_hashes(F.col("kmer"), SHORT)[2]
     pos = hashing.unsigned_mod(F.col("c"), 1_000_003)
-    return words.withColumn("c", canonical).select("kmer", pos.alias("pos")).select("kmer", "pos", F.expr("pos div 8").alias("byte"), F.expr("cast(shiftleft(1, cast(pos % 8 as int)) as int)").alias("mask"))
+    return _strands(spark, d).select("kmer", pos.alias("pos")).select("kmer", "pos", F.expr("pos div 8").alias("byte"), F.expr("cast(shiftleft(1, cast(pos % 8 as int)) as int)").alias("mask"))
 
 
 SEEDS = ("1011001101", "1101111011", "1110110111", "1111111111")
@@ -83,34 +80,52 @@ def seed_parse(spark: SparkSession, d: str) -> DataFrame:
     return seeds.select("seed", F.explode_outer(multiindex.parse_seed(F.col("seed"))).alias("skip")).select("seed", F.coalesce("skip", F.lit(-1)).alias("skip"))
 
 
-def _source_kmers(spark: SparkSession, d: str) -> DataFrame:
-    return contig_kmers(spark, d).where(F.col("id") != 0)
+def _distinct(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """((seq_id, element, at), (element, n, sourced)): the k-mers of each contig with their places, written once; and every
+    element with its rows of the first table and whether a contig with a source has it."""
+    rows = contig_kmers(spark, d).groupBy("seq_id", "id", "element").agg(F.collect_list("pos").alias("at"))
+    placed = durable(rows, "kmers")
+    each = placed.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("id") != 0).alias("sourced"))
+    return placed, durable(each, "elements")
+
 
+def _filter(each: DataFrame) -> BitFilter:
+    members = each.where("sourced").select("element")
+    # The elements are distinct already, so a count will do.
+    return BitFilter.of(members, "element", Shape.sized(members.count(), FPR, H, K))
 
-def _bits(spark: SparkSession, d: str) -> DataFrame:
-    return bloom.build(_source_kmers(spark, d).select("element").distinct(), "element", M, H)
+
+def _elements(spark: SparkSession, d: str) -> DataFrame:
+    """(element, sourced) without the places, for what needs none."""
+    return durable(contig_kmers(spark, d).groupBy("element").agg(F.bool_or(F.col("id") != 0).alias("sourced")), "elements")
 
 
 def kmer_bf_build(spark: SparkSession, d: str) -> DataFrame:
     """Set bits by bucket of the packed filter."""
-    return bloom.packed(_bits(spark, d)).select("bucket", F.bitmap_count("bitmap").alias("ones"))
+    return bloom.packed(_filter(_elements(spark, d)).bits).select("bucket", F.bitmap_count("bitmap").alias("ones"))
 
 
-def _hits(spark: SparkSession, d: str) -> DataFrame:
-    return bloom.contains(contig_kmers(spark, d), "element", _bits(spark, d), M, H)
+def kmer_contains(spark: SparkSession, d: str) -> DataFrame:
+    each = _elements(spark, d)
+    return _filter(each).contains(each, "element")
 
 
-def kmer_contains(spark: SparkSession, d: str) -> DataFrame:
-    return _hits(spark, d)
+def _answered(spark: SparkSession, d: str, hits_only: bool | None = None) -> DataFrame:
+    """(seq_id, element, at, hit). An element that most contigs have is a hot key, whose rows are spread."""
+    placed, each = _distinct(spark, d)
+    hits = _filter(each).contains(each, "element")
+    hits = hits if hits_only is None else hits.where(F.col("hit") == hits_only)
+    return hot.joined(placed.drop("id"), hits, "element", ["seq_id"], hot.hot_keys(each, "element", "n"))
 
 
 def kmer_hit_summary(spark: SparkSession, d: str) -> DataFrame:
     """Per contig: k-mers found in the filter, and all of them."""
-    return contig_kmers(spark, d).join(_hits(spark, d), "element").groupBy("seq_id").agg(F.count_if("hit").alias("hits"), F.count(F.lit(1)).alias("total"))
+    n = F.size("at").cast("bigint")
+    return _answered(spark, d).groupBy("seq_id").agg(F.sum(F.when(F.col("hit"), n).otherwise(0)).alias("hits"), F.sum(n).alias("total"))
 
 
 def missing_kmers(spark: SparkSession, d: str) -> DataFrame:
-    return contig_kmers(spark, d).join(_hits(spark, d).where(~F.col("hit")), "element").select("seq_id", "pos", "element")
+    return _answered(spark, d, False).select("seq_id", F.explode("at").alias("pos"), "element")
 
 
 def _filters(spark: SparkSession, d: str) -> DataFrame:
@@ -144,12 +159,13 @@ def cli_sizing(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = (fasta_scan, kmer_shred, revcomp, canonical_kmer, kmer_hash, multi_hash, kmer_hash_ext, bit_positions, seed_parse, kmer_bf_build, kmer_contains, kmer_hit_summary, missing_kmers, sizing_, fpr_model, redundancy_fpr, mibf_sizing, cli_sizing)
 
-_WORDS = f"WITH {SQL_INSERTED}, words AS (SELECT DISTINCT substr(element, 1, {SHORT}) AS kmer FROM inserted)"
-_PER = f"{sql_hash('element', 'i')} % {M}"
+_WORDS = f"WITH {SQL_INSERTED}, words AS (SELECT DISTINCT element AS kmer FROM inserted)"
+_PER = f"{sql_hash('element', 'i')} % m"
 _FILTER = f"""WITH {SQL_KMERS},
 n AS (SELECT unnest(range(0, {H})) AS i),
-bits AS (SELECT DISTINCT {_PER} AS pos FROM (SELECT DISTINCT element FROM kmers WHERE id <> 0), n),
-answers AS (SELECT element, bool_and(b.pos IS NOT NULL) AS hit FROM (SELECT element, {_PER} AS pos FROM (SELECT DISTINCT element FROM kmers), n) p LEFT JOIN bits b USING (pos) GROUP BY element)"""
+m AS (SELECT {sql_optimal_size('SELECT count(DISTINCT element) FROM kmers WHERE id <> 0', FPR, H)} AS m),
+bits AS (SELECT DISTINCT {_PER} AS pos FROM (SELECT DISTINCT element FROM kmers WHERE id <> 0), n, m),
+answers AS (SELECT element, bool_and(b.pos IS NOT NULL) AS hit FROM (SELECT element, {_PER} AS pos FROM (SELECT DISTINCT element FROM kmers), n, m) p LEFT JOIN bits b USING (pos) GROUP BY element)"""
 _HEADERS = """WITH f AS (SELECT DISTINCT snapshot_id, filter_snapshot.Entry AS n, BloomFilterSize AS m, dFPR AS fpr,
   CASE WHEN HashNum > 0 THEN HashNum ELSE floor(-ln(dFPR) / ln(2))::INTEGER END AS h
   FROM filter_snapshot JOIN bit_filter USING (filter_id) WHERE filter_snapshot.Entry > 0 AND dFPR > 0)"""
@@ -176,7 +192,7 @@ def _sql_strands(k: int) -> str:
     return f"SELECT kmer, {fwd} AS f, {back} AS r FROM words"
 
 
-_STRANDS = f"{_WORDS}, strands AS (SELECT kmer, f, r, least(f, r) AS c FROM ({_sql_strands(SHORT)}))"
+_STRANDS = f"{_WORDS}, strands AS (SELECT kmer, f, r, least(f, r) AS c FROM ({_sql_strands(K)}))"
 
 
 def _sql_seed(i: int) -> int:
@@ -193,6 +209,9 @@ w AS (SELECT substr(seq, pos + 1, {K}) AS k FROM (SELECT seq, unnest(range(0, le
 SELECT least(k, {rev("k")}) AS kmer, count(*) AS n FROM w GROUP BY 1""",
     "kmer_hash": f"{_STRANDS} SELECT kmer, printf('%X', f) AS fwd, printf('%X', r) AS rev, printf('%X', c) AS hash FROM strands",
     "multi_hash": f"{_STRANDS} SELECT kmer, i, printf('%X', xor(c, v)) AS hash FROM strands, (VALUES {', '.join(f'({i}, {_sql_seed(i)}::UBIGINT)' for i in range(4))}) s(i, v)",
+    "kmer_hash_ext": f"""{_STRANDS}, s(i, f) AS (VALUES {', '.join(f'({i}, {(i ^ K * hashing.MULTIPLIER) & hashing.MASK}::UHUGEINT)' for i in range(1, 4))}),
+e AS (SELECT kmer, i, (c::UHUGEINT * s.f % 18446744073709551616::UHUGEINT)::UBIGINT AS v FROM strands, s)
+SELECT kmer, 0 AS i, printf('%X', c) AS hash FROM strands UNION ALL SELECT kmer, i, printf('%X', xor(v, v >> {hashing.SHIFT})) FROM e""",
     "bit_positions": f"{_STRANDS}, p AS (SELECT kmer, (c % 1000003)::BIGINT AS pos FROM strands) SELECT kmer, pos, pos // 8 AS byte, (1 << (pos % 8)::INTEGER)::INTEGER AS mask FROM p",
     "seed_parse": f"""WITH s AS (SELECT unnest([{', '.join(repr(s) for s in SEEDS)}]) AS seed),
 p AS (SELECT seed, list_filter(range(0, length(seed)), lambda j: substr(seed, j + 1, 1) = '0') AS skips FROM s)

@@ -1,14 +1,15 @@
 """Filter files: a line with the magic, a TOML table, a closing line, then the raw payload.
 
 The payload of a bit filter is its bytes, lowest bit first; that of a counting filter its counters, little-endian. Payloads
-travel as rows of CHUNK bytes at most: writing sorts them and streams partition after partition to the file, reading has
-each task seek to its own chunks, so neither holds a whole filter in memory."""
+travel as rows of CHUNK bytes at most, and each task writes or reads its own chunks at their places, so that nothing passes the
+driver and nothing holds a whole filter."""
 
 from __future__ import annotations
 
 import os
 import struct
 import tomllib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftloom.functions import hashing
 from siftloom.operators import bloom
 
 #: Fixed values of the format: keys and closing line. The magic names a table, and any is read.
@@ -53,15 +55,51 @@ def read_header(path: str) -> Header:
     return Header(magic, values, offset)
 
 
-def _write(path: str, magic: str, values: dict, chunks: Iterator[tuple[int, bytes]], size: int) -> None:
-    with open(path, "wb") as f:
-        lines = [f"[{magic}]", *(f"{k} = {float(v) if k == 'dFPR' else int(v)}" for k, v in values.items()), HEADER_END, ""]
-        f.write("\n".join(lines).encode())
-        start = f.tell()
-        for at, data in chunks:
-            f.seek(start + at)
-            f.write(data[: max(0, size - at)])
-        f.truncate(start + size)
+def _write(path: str, head: bytes, chunks: DataFrame, size: int) -> None:
+    """Header, then the payload of so many bytes, of which chunks (chunk, data) holds those that are not all zero. The file is made
+    at its whole length beside its path; tasks write their own chunks into it, again if they are run again, and it takes its name
+    at the end. The path must be one that all executors see."""
+    draft = f"{path}.{uuid.uuid4().hex}"
+    with open(draft, "wb") as f:
+        f.write(head)
+        f.truncate(len(head) + size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        with open(draft, "r+b") as f:
+            for b in batches:
+                for i, data in zip(b.column(0).to_pylist(), b.column(1)):
+                    at = i * CHUNK
+                    f.seek(len(head) + at)
+                    n += f.write(data.as_buffer()[: max(0, min(CHUNK, size - at))])
+        yield pa.record_batch([pa.array([n], pa.int64())], names=["n"])
+
+    chunks.select("chunk", "data").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    os.replace(draft, path)
+
+
+def _head(magic: str, values: dict) -> bytes:
+    return "\n".join([f"[{magic}]", *(f"{k} = {float(v) if k == 'dFPR' else int(v)}" for k, v in values.items()), HEADER_END, ""]).encode()
+
+
+def _buckets(packed: DataFrame) -> DataFrame:
+    return packed.select(F.col("bucket").alias("chunk"), F.col("bitmap").alias("data"))
+
+
+def _numbers(rows: DataFrame, at: str, value: str, width: int) -> DataFrame:
+    """(chunk, data) of numbers of so many bytes by their place; those that are not named are zero."""
+    per = CHUNK // width
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            flat, sizes = lists.flatten(), np.asarray(lists.value_lengths())
+            data = np.zeros((b.num_rows, per), f"<u{width}")
+            data[np.repeat(np.arange(b.num_rows), sizes), flat.field("at").to_numpy()] = flat.field("v").to_numpy().astype(f"<u{width}")
+            yield pa.record_batch([b.column(0), pa.array([x.tobytes() for x in data], pa.binary())], names=["chunk", "data"])
+
+    chunks = rows.groupBy(F.expr(f"{at} div {per}").alias("chunk")).agg(F.collect_list(F.struct((F.col(at) % per).alias("at"), F.col(value).alias("v"))).alias("x"))
+    return chunks.mapInArrow(run, "chunk long, data binary")
 
 
 def write_bit_filter(path: str, packed: DataFrame, m: int, h: int, k: int, fpr: float = 0.0, distinct: int = 0, inserted: int = 0, magic: str = BIT_MAGIC) -> None:
@@ -69,8 +107,7 @@ def write_bit_filter(path: str, packed: DataFrame, m: int, h: int, k: int, fpr:
     if m <= 0 or m % 8:
         raise ValueError("the size of a bit filter is a positive multiple of 8")
     values = dict(zip(BIT_KEYS, (k, h, m, m // 8, fpr, distinct, inserted)))
-    rows = packed.select("bucket", "bitmap").toLocalIterator(prefetchPartitions=True)
-    _write(path, magic, values, ((r.bucket * bloom.BUCKET // 8, bytes(r.bitmap)) for r in rows), m // 8)
+    _write(path, _head(magic, values), _buckets(packed), m // 8)
 
 
 def write_counting_filter(path: str, counters: DataFrame, m: int, h: int, k: int, bits: int = 8, magic: str = COUNTING_MAGIC) -> None:
@@ -78,18 +115,8 @@ def write_counting_filter(path: str, counters: DataFrame, m: int, h: int, k: int
     if bits not in (8, 16, 32, 64):
         raise ValueError("counters have 8, 16, 32 or 64 bits")
     width = bits // 8
-    per = CHUNK // width
     values = dict(zip(COUNTING_KEYS, (bits, k, h, m, m * width)))
-    rows = counters.groupBy(F.expr(f"pos div {per}").alias("chunk")).agg(F.collect_list(F.struct((F.col("pos") % per).alias("at"), "cnt")).alias("x")).toLocalIterator(prefetchPartitions=True)
-
-    def chunks() -> Iterator[tuple[int, bytes]]:
-        for r in rows:
-            data = np.zeros(per, f"<u{width}")
-            for x in r.x:
-                data[x["at"]] = x["cnt"]
-            yield r.chunk * CHUNK, data.tobytes()
-
-    _write(path, magic, values, chunks(), m * width)
+    _write(path, _head(magic, values), _numbers(counters, "pos", "cnt", width), m * width)
 
 
 def _chunks(spark: SparkSession, path: str, offset: int, size: int) -> DataFrame:
@@ -125,11 +152,7 @@ def read_raw_filter(spark: SparkSession, path: str, m: int) -> DataFrame:
 
 
 def write_raw_filter(path: str, packed: DataFrame, m: int) -> None:
-    with open(path, "wb") as f:
-        for r in packed.select("bucket", "bitmap").toLocalIterator(prefetchPartitions=True):
-            f.seek(r.bucket * bloom.BUCKET // 8)
-            f.write(bytes(r.bitmap)[: max(0, m // 8 - r.bucket * bloom.BUCKET // 8)])
-        f.truncate(m // 8)
+    _write(path, b"", _buckets(packed), m // 8)
 
 
 def read_counting_filter(spark: SparkSession, path: str, bits: int | None = None) -> tuple[dict, DataFrame]:
@@ -169,12 +192,24 @@ def write_index_file(path: str, values: DataFrame, size: int, h: int, k: int, se
     """values: (rank, raw). Header, seeds, then `size` values of so many bits."""
     width = bits // 8
     head = INDEX_HEADER.pack(INDEX_MAGIC, INDEX_HEADER.size + sum(map(len, seeds or [])), size, h, k, INDEX_VERSION) + "".join(seeds or []).encode()
-    with open(path, "wb") as f:
-        f.write(head)
-        for r in values.select("rank", "raw").toLocalIterator(prefetchPartitions=True):
-            f.seek(len(head) + r.rank * width)
-            f.write((r.raw & ((1 << bits) - 1)).to_bytes(width, "little"))
-        f.truncate(len(head) + size * width)
+    low = values.select("rank", F.col("raw").bitwiseAND(F.lit(hashing.signed((1 << bits) - 1)).cast("bigint")).alias("raw"))
+    _write(path, head, _numbers(low, "rank", "raw", width), size * width)
+
+
+def write_index(path: str, slots: DataFrame, m: int, h: int, k: int, seeds: list[str] | None = None, bits: int = 32) -> None:
+    """slots: (pos, rank, raw). The values in one file, the bit vector beside it in another, without a header."""
+    write_raw_filter(f"{path}.bits", bloom.packed(slots), (m + 7) // 8 * 8)
+    write_index_file(path, slots.select("rank", "raw"), slots.count(), h, k, seeds, bits)
+
+
+def read_index(spark: SparkSession, path: str, bits: int = 32) -> tuple[dict, DataFrame]:
+    """The header, with m, and (pos, rank, raw): positions and ranks from the bit vector's file, values from the other."""
+    from siftloom.operators import multiindex
+
+    head = read_index_header(path)
+    m = os.path.getsize(f"{path}.bits") * 8
+    ranked = multiindex.ranks(bloom.unpacked(read_raw_filter(spark, f"{path}.bits", m)))
+    return head | {"m": m}, ranked.join(read_index_values(spark, path, bits), "rank")
 
 
 def read_index_values(spark: SparkSession, path: str, bits: int = 32) -> DataFrame:

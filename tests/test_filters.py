@@ -5,13 +5,16 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftloom.operators import bloom, counting, multiindex
+from siftloom.functions import hashing
+from siftloom.operators import bloom, counting, hot, multiindex
+from siftloom.operators.filters import BitFilter, CountingFilter, Shape
 from siftloom.sources import fasta, filterfile
 from siftloom.streaming.first_seen import SeenFilter, deduplicated
 
 
-def md5_60(x, i):
-    return int(hashlib.md5(f"{i}:{x}".encode()).hexdigest()[:15], 16)
+def md5_pair(x, i):
+    d = hashlib.md5(x.encode()).hexdigest()
+    return int(d[:15], 16) + i * (int(d[15:28], 16) | 1)
 
 
 def keys(spark, values):
@@ -21,7 +24,7 @@ def keys(spark, values):
 def test_no_false_negatives_and_positions(spark):
     members = [f"m{i}" for i in range(300)]
     bits = bloom.build(keys(spark, [*members, None, "m0"]), "k", 4001, 3)
-    assert {r.pos for r in bits.collect()} == {md5_60(x, i) % 4001 for x in members for i in range(3)}
+    assert {r.pos for r in bits.collect()} == {md5_pair(x, i) % 4001 for x in members for i in range(3)}
     got = {r.k: r.hit for r in bloom.contains(keys(spark, members + ["x1", "x2"]), "k", bits, 4001, 3).collect()}
     assert all(got[m] for m in members)
 
@@ -60,12 +63,12 @@ def test_insert_and_check_is_sequential(spark, preset):
     rng = random.Random(3)
     rows = [(i, str(rng.randrange(60))) for i in range(300)]
     rng.shuffle(rows)
-    full = {md5_60("old", i) % 97 for i in range(2)} | {1, 2, 3, 4, 5} if preset else set()
+    full = {md5_pair("old", i) % 97 for i in range(2)} | {1, 2, 3, 4, 5} if preset else set()
     old = spark.createDataFrame([(p,) for p in full], "pos bigint") if preset else None
     got = {r.o: r.present for r in bloom.insert_and_check(spark.createDataFrame(rows + rows[:9] + [(5000, None)], "o int, k string"), "k", ["o"], 97, 2, preset=old).collect()}
     want, bits = {}, set(full)
     for o, k in sorted(rows):
-        at = {md5_60(k, i) % 97 for i in range(2)}
+        at = {md5_pair(k, i) % 97 for i in range(2)}
         want[o] = at <= bits
         bits |= at
     assert got == want
@@ -85,7 +88,7 @@ def test_counters(spark):
     want = np.zeros(40, int)
     for x in rows:
         for i in range(3):
-            want[md5_60(x, i) % 40] += 1
+            want[md5_pair(x, i) % 40] += 1
     assert {r.pos: r.cnt for r in counters.collect()} == {i: min(c, 15) for i, c in enumerate(want) if c}
     least = {r.e: r.min_count for r in counting.min_count(t, *args, counters, F.col("m"), F.col("h")).collect()}
     slow = counting.conservative(t, *args, F.col("m"), F.col("h"), F.col("bits"))
@@ -102,16 +105,17 @@ def test_conservative_is_sequential(spark, n_blocks):
     from siftloom.operators import blocks
 
     placed = {r.e: (r.block, r.slots) for r in blocks.placed(t, "e", F.col("m"), F.col("h"), n_blocks).collect()}
+    assert all(s // (40 // n_blocks) == b for b, slots in placed.values() for s in slots) and {b for b, _ in placed.values()} == set(range(n_blocks))
     counters, present = {}, {}
     for x in sorted(rows):
-        block, slots = placed[x]
-        least = min(counters.get((block, s), 0) for s in slots)
+        slots = placed[x][1]
+        least = min(counters.get(s, 0) for s in slots)
         present[x] = present.get(x, 0) + (least >= 3)
         for s in set(slots):
-            if counters.get((block, s), 0) == least and least < 15:
-                counters[block, s] = least + 1
+            if counters.get(s, 0) == least and least < 15:
+                counters[s] = least + 1
     args = ("e", ["filter_id"], F.col("m"), F.col("h"), F.col("bits"))
-    got = {(r.block, r.slot): r.cnt for r in counting.conservative(t, *args, n_blocks).collect()}
+    got = {r.pos: r.cnt for r in counting.conservative(t, *args, n_blocks).collect()}
     assert got == counters
     checked = {r.e: r.n_present for r in counting.insert_and_check(t, *args, F.col("threshold"), n_blocks).collect()}
     assert checked == present
@@ -149,7 +153,7 @@ def test_reservoir_is_sequential(spark):
     got = {r.pos: (r.rank, r.id, r.obs) for r in multiindex.reservoir(df, m, h).collect()}
     ids, obs = {}, {}
     for seq in sorted({r[0] for r in rows}):
-        values = sorted({(r[3], md5_60(r[2], i)) for r in rows if r[0] == seq for i in range(h)})
+        values = sorted({(r[3], md5_pair(r[2], i)) for r in rows if r[0] == seq for i in range(h)})
         for id_, v in values:
             p = v % m
             obs[p] = obs.get(p, 0) + 1
@@ -173,7 +177,7 @@ def test_collisions_are_sequential(spark):
     for s, _, w, _ in sorted(rows):
         n, full, hit = want.get(s, (0, 0, 0))
         before = set(bits)
-        at = [md5_60(w, i) % 61 for i in range(3)]
+        at = [md5_pair(w, i) % 61 for i in range(3)]
         for p in at:
             hit += p in bits
             bits.add(p)
@@ -192,10 +196,136 @@ def test_insert_fills_then_saturates():
 
 def test_saturation_in_order():
     s = multiindex.Saturate()
-    s.ids, s.obs = {1: 5, 2: 5, 3: 6, 4: 7}, {1: 2, 2: 9, 3: 1, 4: 1}
-    s.frames = [([1, 2, 3], 8), ([3, 4], 9)]
-    s.settle()
-    assert s.ids == {1: 5, 2: 8, 3: 6, 4: 7} and s.obs[2] == 10 and s.full == {3, 4}
+    for rank, (pos, id_, obs) in enumerate([(1, 5, 2), (2, 5, 9), (3, 6, 1), (4, 7, 1)]):
+        s.step(rank, [pos], id_, obs)
+    s.step(None, [1, 2, 3], 8, None)
+    s.step(None, [3, 4], 9, None)
+    s.step(None, [2, 3], 5, None)  # its slot was taken over by the first
+    assert s.rows() == [(1, 0, 5, 2, False), (2, 1, 8, 10, True), (3, 2, 6, 1, True), (4, 3, 7, 1, True)]
+
+
+@pytest.mark.parametrize("n_blocks", [1, 3])
+def test_the_index_is_sequential(spark, n_blocks):
+    """Reservoir, then saturation, against a model that takes one frame after another."""
+    rows = [(s, p, w, s % 5 + 1) for s, p, w, _ in frames(spark)]
+    df = spark.createDataFrame(rows, "seq bigint, pos int, elem string, id bigint")
+    m, h = 99, 3
+    per = m // n_blocks
+    hashes = {w: [md5_pair(w, i) for i in range(h)] for _, _, w, _ in rows}
+    at = {w: [(v[0] >> 30) % n_blocks * per + x % per for x in v] for w, v in hashes.items()}
+    ids, obs, full = {}, {}, set()
+    for seq in sorted({r[0] for r in rows}):
+        seen = {(r[3], v, p) for r in rows if r[0] == seq for v, p in zip(hashes[r[2]], at[r[2]])}
+        for id_, v, p in sorted(seen):
+            obs[p] = obs.get(p, 0) + 1
+            if (v ^ id_) % obs[p] == obs[p] - 1:
+                ids[p] = id_
+    done = set()
+    for _, _, w, id_ in sorted(rows):
+        if (w, id_) in done:
+            continue
+        done.add((w, id_))
+        held = [ids[p] for p in at[w]]
+        if id_ in held:
+            continue
+        doubled = [p for p, x in zip(at[w], held) if held.count(x) > 1]
+        if doubled:
+            p = max(doubled, key=lambda x: obs[x])
+            ids[p], obs[p] = id_, obs[p] + 1
+        else:
+            full |= set(at[w])
+    got = {r.pos: (r.rank, r.id, r.obs, r.saturated) for r in multiindex.built(df, m, h, n_blocks).collect()}
+    assert got == {p: (i, ids[p], obs[p], p in full) for i, p in enumerate(sorted(ids))}
+    assert full and multiindex.built(df.limit(0), m, h, n_blocks).count() == 0
+
+
+def test_builder_keeps_its_phases(spark):
+    df = spark.createDataFrame(frames(spark), "seq bigint, pos int, elem string, id bigint")
+    b = multiindex.IndexBuilder(60, 3, 0.3)
+    for early in (b.empty, lambda: b.insert(df), b.saturate):
+        with pytest.raises(RuntimeError):
+            early()
+    b.insert_bits(df.where("pos < 200"))
+    b.insert_bits(df.where("pos >= 200"))
+    empty = b.empty()
+    for late in (b.empty, lambda: b.insert_bits(df), b.saturate):
+        with pytest.raises(RuntimeError):
+            late()
+    b.insert(df.where("pos < 200"))
+    b.insert(df.where("pos >= 200"))
+    slots = b.saturate()
+    assert sorted((r.pos, r.rank) for r in slots.collect()) == sorted((r.pos, r.rank) for r in empty.collect())
+    assert sorted(slots.collect()) == sorted(multiindex.built(df, b.m, 3).collect())
+    with pytest.raises(RuntimeError):
+        b.saturate()
+
+
+def test_spaced_seeds_see_past_their_gaps(spark):
+    seeds = ("1101011", "1011101", "1110111")
+    family = hashing.seeded(seeds)
+    df = spark.createDataFrame([(1, 0, "ACGGTCA", 4), (2, 0, "TTTTGGC", 5)], "seq bigint, pos int, elem string, id bigint")
+    slots = multiindex.saturated(multiindex.reservoir(df, 10_007, 3, family), df, 10_007, 3, family)
+    asked = ["ACGGTCA", "TGACCGT", "ACTGTCA", "ACGTTCA", "CCCCCCC"]  # itself, its other strand, two changes, another
+    found = {(r.elem, r.i): r.id for r in multiindex.lookup(spark.createDataFrame([(x,) for x in asked], "e string"), "e", slots, 10_007, 3, family).collect()}
+    hits = {x: [found[x, i] for i in range(3)] for x in asked}
+    assert hits["ACGGTCA"] == hits["TGACCGT"] == [4, 4, 4] and hits["CCCCCCC"] == [None] * 3
+    assert hits["ACTGTCA"] == [4, None, None] and hits["ACGTTCA"] == [None, None, 4]
+    b = multiindex.IndexBuilder(2, 3, 0.1, family)
+    b.insert_bits(df)
+    b.empty()
+    b.insert(df)
+    assert {r.id for r in b.saturate().collect()} == {4, 5}
+    for bad in ((), ("101", "1"), ("10x",)):
+        with pytest.raises(ValueError):
+            hashing.seeded(bad)
+
+
+def test_filters_keep_their_shape(spark, tmp_path):
+    a, b = keys(spark, [f"a{i}" for i in range(300)]), keys(spark, [f"b{i}" for i in range(300)])
+    shape = Shape.sized(600, 0.01)
+    assert shape.h == 6 and shape.m % 64 == 0
+    f, g = BitFilter.of(a, "k", shape), BitFilter.of(b, "k", shape)
+    both = f.union(g)
+    assert {r.hit for r in both.contains(a.union(b), "k").collect()} == {True}
+    assert f.intersection(g).bits.count() < f.bits.count()
+    for other in (Shape(shape.m + 64, shape.h), Shape(shape.m, shape.h, 31), Shape(shape.m, shape.h, family="xx64"), Shape(shape.m, 5)):
+        with pytest.raises(ValueError):
+            f.union(BitFilter.of(b, "k", other))
+        with pytest.raises(ValueError):
+            f.intersection(BitFilter.of(b, "k", other))
+    f.store(str(tmp_path / "f"), 0.01)
+    back = BitFilter.load(spark, str(tmp_path / "f"))
+    assert back.shape == shape and {r.pos for r in back.bits.collect()} == {r.pos for r in f.bits.collect()}
+    sized = BitFilter.sized(a, "k", 0.01)
+    assert sized.entries == 300 and abs(sized.fpr().first().fpr - 0.01) < 0.01
+    for bad in ((7, 1), (0, 1), (64, 0), (64, 1, 0, "none"), (64, 2, 3, "xx64", ("101",))):
+        with pytest.raises(ValueError):
+            Shape(*bad)
+    with pytest.raises(ValueError):
+        Shape.sized(10, 1.5)
+
+
+def test_counting_filter_of_bytes(spark, tmp_path):
+    rows = keys(spark, ["a"] * 3 + ["b", None])
+    f = CountingFilter.of_bytes(rows, "k", 100_001, 5, 8, threshold=2)
+    assert f.shape.m == 100_008
+    assert {r.k: r.hit for r in f.contains(keys(spark, ["a", "b", "c"]), "k").collect()} == {"a": True, "b": False, "c": False}
+    wide = CountingFilter.of_bytes(rows, "k", 100_001, 5, 8, bits=64)
+    assert wide.shape.m == 100_008 // 8
+    f.store(str(tmp_path / "c"))
+    back = CountingFilter.load(spark, str(tmp_path / "c"), 2)
+    assert back.shape == f.shape and sorted(back.counters.collect()) == sorted(f.counters.collect())
+    with pytest.raises(ValueError):
+        CountingFilter.of_bytes(rows, "k", 8, 1, bits=12)
+
+
+def test_hot_keys_are_spread(spark):
+    left = spark.createDataFrame([("hot", i) for i in range(300)] + [(f"k{i}", i) for i in range(50)], "k string, o int")
+    right = spark.createDataFrame([("hot", 1), ("k3", 2), ("none", 3)], "k string, v int")
+    heavy = hot.hot_keys(left.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "k", "n")
+    assert {r.hot for r in heavy.collect()} == {"hot"} and heavy.first().salts > 1
+    got = sorted((r.k, r.o, r.v) for r in hot.joined(left, right, "k", ["o"], heavy).collect())
+    assert got == sorted([("hot", i, 1) for i in range(300)] + [("k3", 3, 2)])
 
 
 def test_pack(spark):
@@ -244,6 +374,14 @@ def test_index_file(spark, tmp_path):
     assert sorted(filterfile.read_index_values(spark, path).where("raw <> 0").collect()) == sorted(values.collect())
 
 
+def test_index_from_its_files_alone(spark, tmp_path):
+    slots = spark.createDataFrame([(5, 0, 7), (64, 1, (1 << 31) + 3), (99_999, 2, 9)], "pos bigint, rank bigint, raw bigint")
+    path = str(tmp_path / "i")
+    filterfile.write_index(path, slots, 100_000, 3, 31)
+    head, back = filterfile.read_index(spark, path)
+    assert head["m"] == 100_000 and sorted((r.pos, r.rank, r.raw) for r in back.collect()) == sorted(map(tuple, slots.collect()))
+
+
 def test_fasta(spark, tmp_path):
     path = tmp_path / "x.fa"
     path.write_text(">a one\nacg\nTTn\r\n>a one\nGG\n>empty\n>b\n\nC C\n")
@@ -260,6 +398,22 @@ def test_stream_restart_gives_the_same_answers(spark, tmp_path):
         assert {r.o: r.present for r in seen.take(two, 1, "k", ["o"]).collect()} == {5: True, 6: False}
 
 
+def test_stream_bits_are_compacted(spark, tmp_path):
+    seen = SeenFilter(str(tmp_path / "bits"), 1 << 16, 3, every=2)
+    answers = {}
+    sink = seen.sink("k", ["o"], lambda out, n: answers.update({r.o: r.present for r in out.collect()}))
+    batch = lambda n: spark.createDataFrame([(10 * n, f"k{n}"), (10 * n + 1, f"k{n // 2}")], "o int, k string")
+    for n in (0, 1, 2, 4, 5, 6):  # batch 3 never comes
+        sink(batch(n), n)
+    left = {p.name for p in (tmp_path / "bits").iterdir()}
+    assert "base=6" in left and "batch=0" not in left and len(left) <= 6
+    before = dict(answers)
+    sink(batch(6), 6)  # and again
+    assert answers == before
+    first = lambda n: n // 2 not in (0, 1, 2, 4, 5, 6)[: (0, 1, 2, 4, 5, 6).index(n) + 1]
+    assert answers == {10 * n: False for n in (0, 1, 2, 4, 5, 6)} | {10 * n + 1: not first(n) for n in (0, 1, 2, 4, 5, 6)}
+
+
 def test_exact_stream_form(spark, data):
     events = spark.readStream.schema(spark.read.parquet(f"{data}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).schema).parquet(f"{data}/none*")
     assert deduplicated(events, "user_id", "ts", "1 hour").isStreaming

@@ -65,6 +65,20 @@ def test_extended_hashes_keep_nulls(spark):
     assert len(got[0]) == 3 and got[0][0] == 5 and got[1] is None
 
 
+@pytest.mark.parametrize("family", sorted(hashing.FAMILIES))
+def test_families_take_numbers_and_columns(spark, family):
+    df = spark.createDataFrame([("abc", 3), ("x", 3)], "x string, h int")
+    got = df.select(hashing.hashes(F.col("x"), 3, family).alias("a"), hashing.hashes(F.col("x"), F.col("h"), family).alias("b")).collect()
+    assert all(r.a == r.b and len(set(r.a)) == 3 for r in got)
+
+
+def test_pairs_of_hashes(spark):
+    d = "900150983cd24fb0d6963f7d28e17f72"  # md5 of abc
+    assert one(spark, hashing.hashes(F.lit("abc"), 3))[0] == [int(d[:15], 16) + i * (int(d[15:28], 16) | 1) for i in range(3)]
+    with pytest.raises(ValueError):
+        hashing.positions(F.lit("abc"), 0, 3)
+
+
 def golden(spark, col):
     return one(spark, col)[0]
 
@@ -89,6 +103,10 @@ def test_models(spark):
     assert golden(spark, sizing.modelled_fpr(F.lit(64000), F.lit(10000), F.lit(4))) == pytest.approx(0.0466492477006)
     for n, want in ((1, 2.5447e-10), (2, 1.2723e-10), (100, 0.00264100153586)):
         assert golden(spark, sizing.redundancy_fpr(F.lit(1000), F.lit(n), F.lit(4))) == pytest.approx(want, rel=1e-4)
+    for m, n, h in ((1000, 65, 4), (1000, 66, 4), (1000, 5000, 4), (10**6, 40_000, 1), (10**6, 40_000, 13), (64, 100_000, 2)):
+        exact = math.fsum((1 - (1 - 1 / m) ** (i * h)) ** h for i in range(1, n)) / n
+        assert golden(spark, sizing.redundancy_fpr(F.lit(m), F.lit(n), F.lit(h))) == pytest.approx(exact, rel=1e-6)
+    assert golden(spark, sizing.redundancy_fpr(F.lit(10**10), F.lit(10**9), F.lit(4))) < 0.05
     assert golden(spark, sizing.frame_probability(F.lit(0.5), 4, F.lit(0.1), 0)) == pytest.approx(0.02149375)
     assert golden(spark, sizing.frame_probability(F.lit(0.5), 4, F.lit(0.1), 1)) == pytest.approx(0.08924375)
     for n, want in ((1000, (19200, 13)), (10**6, (19170176, 13))):
@@ -96,10 +114,10 @@ def test_models(spark):
         assert (m, golden(spark, sizing.tool_hashes(F.lit(n), F.lit(m)))) == want
 
 
-@pytest.mark.parametrize("n,p,sat", [(10, 0.3, 0), (10, 0.3, 1), (10, 0.3, 4), (3000, 0.4, 1200), (5, 0.0, 2), (5, 1.0, 3), (5, 1.0, 6)])
+@pytest.mark.parametrize("n,p,sat", [(10, 0.3, 0), (10, 0.3, 1), (10, 0.3, 4), (3000, 0.4, 1200), (200_000, 0.001, 190), (200_000, 0.7, 140_300), (50, 0.9, 50), (50, 0.9, 51), (5, 0.0, 2), (5, 1.0, 3), (5, 1.0, 6)])
 def test_saturation_cdf(spark, n, p, sat):
     exact = sum(math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + (k * math.log(p) if k else 0) + ((n - k) * math.log(1 - p) if n - k else 0)) for k in range(min(sat, n + 1))) if 0 < p < 1 else float(sat > 0 and (p == 0 or sat > n))
-    assert golden(spark, sizing.saturation_cdf(F.lit(n), F.lit(p), F.lit(sat))) == pytest.approx(exact, abs=1e-9)
+    assert golden(spark, sizing.saturation_cdf(F.lit(n), F.lit(p), F.lit(sat))) == pytest.approx(exact, abs=1e-8)
 
 
 def test_sequences(spark):
