@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftloom.functions import dna
@@ -137,17 +137,43 @@ def _snapshots(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("period_end", end).withColumn("day", F.to_date("period_start")).withColumn("whole_days", F.col("period_start") == F.date_trunc("day", "period_start"))
 
 
+#: Words that are united in one place.
+STRETCH = 512
+#: Cells that tell of which sources of a filter snapshots ask, so that the others need no bitmap of their own.
+ASKED = 1 << 18
+
+
+def _asked(snapshots: DataFrame) -> Column:
+    """Whether a snapshot may ask for this filter_id and id: false only where none does. The driver gets ASKED / 64 words at most."""
+    at = F.pmod(F.xxhash64("filter_id", "id"), F.lit(ASKED))
+    found = snapshots.where(F.col("id").isNotNull()).select(at.alias("at")).groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).collect()
+    held = [0] * (ASKED // 64)
+    for r in found:
+        held[r.word] = r.bits
+    return F.call_function("getbit", F.get(distinct.numbers(held), F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
 def _snapshot_estimates(spark: SparkSession, d: str, rows: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Each snapshot with the estimate of its union of day bitmaps. The bitmaps of a filter are all sized for all its rows."""
-    per = rows.groupBy(F.col("filter_id").alias("f")).agg(F.count(F.lit(1)).alias("n")).select("f", distinct.bits_column(F.col("n"), ERROR).alias("m"))
-    days = rows.join(per, F.col("filter_id") == F.col("f")).select("filter_id", "id", F.to_date("inserted_at").alias("on"), "element", "m")
-    by_source = distinct.words(days, ["filter_id", "id", "on"], "element", "m")
-    by_filter = distinct.union(by_source, ["filter_id", "on"], "m")
-    s = snapshots.select("snapshot_id", F.col("filter_id").alias("g"), F.col("id").alias("src"), "day", "period_days")
-    within = (F.col("filter_id") == F.col("g")) & (F.col("on") >= F.col("day")) & (F.col("on") < F.expr("date_add(day, period_days)"))
-    with_source = by_source.join(s.where("src is not null"), within & (F.col("id") == F.col("src"))).select("snapshot_id", "m", "word", "bits")
-    without = by_filter.join(s.where("src is null"), within).select("snapshot_id", "m", "word", "bits")
-    united = distinct.union(with_source.unionByName(without), ["snapshot_id"], "m")
+    """Each snapshot with the estimate of its union of day bitmaps.
+
+    There are bitmaps of filters by day, sized by all rows of the filter, and of those sources by day of which snapshots ask, sized
+    by the rows of filter and source; both travel in rows of four numbers."""
+    of_filter, of_source = distinct.sized(table(spark, d, "mi_element").select("filter_id", "id"), "filter_id", "id", ERROR)
+    group = lambda source: F.xxhash64(F.lit("source" if source else "filter"), "filter_id", *(["id"] if source else []))
+    level = lambda source: F.struct(group(source).alias("f"), (of_source if source else of_filter).cast("bigint").alias("m"))
+    whole, part = level(False), level(True)
+    wanted = F.when(F.col("id").isNotNull() & _asked(snapshots), F.array(whole, part)).otherwise(F.array(whole))
+    days = rows.select(F.unix_date(F.to_date("inserted_at")).alias("on"), "element", F.explode(wanted).alias("l")).select("l.f", "on", "element", "l.m")
+    maps = distinct.words(days, ["f", "on"], "element", "m", carry=False)
+    named = F.when(F.col("id").isNull(), group(False)).otherwise(group(True))
+    size = F.when(F.col("id").isNull(), of_filter).otherwise(of_source)
+    # Both sides meet by group and stretch of words, a fixed number of them, so that no group is too large for a task and the union needs
+    # no other shuffle. The hash table is of the snapshots.
+    stretches = F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.expr(f"m div {STRETCH * 64}"), F.lit(1)) - 1))
+    asked = snapshots.select("snapshot_id", named.alias("g"), size.alias("m"), F.unix_date("day").alias("first"), (F.unix_date("day") + F.col("period_days")).alias("end")).withColumn("stretch", stretches)
+    placed = maps.withColumn("part", F.expr(f"word div {STRETCH}"))
+    met = placed.join(asked.hint("shuffle_hash"), (F.col("f") == F.col("g")) & (F.col("part") == F.col("stretch")) & (F.col("on") >= F.col("first")) & (F.col("on") < F.col("end")))
+    united = distinct.union(met, ["f", "part", "snapshot_id"], "m")
     est = distinct.estimates(united, ["snapshot_id"], "m").withColumnRenamed("snapshot_id", "sid")
     out = snapshots.join(est, F.col("snapshot_id") == F.col("sid"), "left").drop("sid")
     nothing = F.col("ones").isNull()
@@ -155,9 +181,11 @@ def _snapshot_estimates(spark: SparkSession, d: str, rows: DataFrame, snapshots:
 
 
 def p6_estimates(spark: SparkSession, d: str) -> DataFrame:
-    """Every snapshot with estimate, bounds, and nEntry and Entry beside them."""
+    """Every snapshot with estimate, bounds, and nEntry and Entry beside them. Without whole_days the estimate is of the days that
+    the period begins on or covers, from the first one's midnight."""
     out = _snapshot_estimates(spark, d, _placed(spark, d), _snapshots(spark, d))
-    return out.select("snapshot_id", "filter_id", "id", "period_start", "period_days", "estimate", "low", "high", "nEntry", "Entry", (F.col("nEntry") > F.col("Entry")).alias("more_than_entered"))
+    rounded = (F.round(c, 3).alias(c) for c in ("estimate", "low", "high"))
+    return out.select("snapshot_id", "filter_id", "id", "period_start", "period_days", "whole_days", *rounded, "nEntry", "Entry", (F.col("nEntry") > F.col("Entry")).alias("more_than_entered"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -170,9 +198,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     never = F.col("whole_days") & F.coalesce((n >= 0.9 * F.col("high")) & (n <= 1.1 * F.col("low")), F.lit(False))
     verdict = F.when(exact_zero, F.when(n != 0, "case").otherwise("none")).when(sure, "case").when(never, "none").otherwise("count")
     judged = durable(est.select("snapshot_id", "filter_id", "id", "period_start", "period_end", "nEntry", verdict.alias("verdict")), "verdicts")
+    # By filter and day, as a filter may hold a third of all rows.
+    last = F.to_date(F.timestamp_micros(F.unix_micros("period_end") - 1))
     open_ = judged.where("verdict = 'count'").select("snapshot_id", F.col("filter_id").alias("g"), F.col("id").alias("src"), "period_start", "period_end", "nEntry")
-    inside = (F.col("filter_id") == F.col("g")) & (F.col("inserted_at") >= F.col("period_start")) & (F.col("inserted_at") < F.col("period_end")) & (F.col("src").isNull() | (F.col("src") == F.col("id")))
-    held = rows.join(open_, inside).select("snapshot_id", "element").distinct().groupBy(F.col("snapshot_id").alias("sid")).agg(F.count(F.lit(1)).alias("d"))
+    by_day = open_.where("period_end > period_start").withColumn("day", F.explode(F.sequence(F.to_date("period_start"), last)))
+    inside = (F.col("filter_id") == F.col("g")) & (F.to_date("inserted_at") == F.col("day")) & (F.col("inserted_at") >= F.col("period_start")) & (F.col("inserted_at") < F.col("period_end")) & (F.col("src").isNull() | (F.col("src") == F.col("id")))
+    held = rows.join(by_day, inside).select("snapshot_id", "element").distinct().groupBy(F.col("snapshot_id").alias("sid")).agg(F.count(F.lit(1)).alias("d"))
     counted = open_.join(held, F.col("snapshot_id") == F.col("sid"), "left").withColumn("d", F.coalesce("d", F.lit(0)))
     off = counted.where(F.abs(F.col("nEntry") - F.col("d")) * 10 > F.col("d")).select("snapshot_id")
     return judged.where("verdict = 'case'").select("snapshot_id").unionByName(off)
@@ -180,7 +211,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_unions(spark: SparkSession, d: str) -> DataFrame:
     """Distinct elements of each source over all filters and days, and of the unions of neighbouring sources by id: bitmaps
-    of one size, that of all rows, are built once and merged."""
+    of one size, by the number of all rows, are built once and merged."""
     base = table(spark, d, "mi_element")
     m = distinct.bits_for(base.count(), ERROR)  # the number of rows, from the footers, bounds any union
     rows = dna.with_element(base.select("id", "seq").where(F.col("id") != 0)).withColumn("m", F.lit(m).cast("bigint"))
@@ -190,7 +221,7 @@ def p6_unions(spark: SparkSession, d: str) -> DataFrame:
     ids = ids.select(F.col("id").alias("first")).join(ids.select((F.col("id") - 1).alias("first")), "first", "left_semi")
     both = distinct.union(pair.join(ids, "first", "left_semi"), ["first"], "m")
     groups = per.select(F.concat(F.lit(""), F.col("id").cast("string")).alias("sources"), "m", "word", "bits").unionByName(both.select(F.concat(F.col("first").cast("string"), F.lit("+"), (F.col("first") + 1).cast("string")).alias("sources"), "m", "word", "bits"))
-    return distinct.estimates(groups, ["sources"], "m").select("sources", "m", "ones", "estimate", "low", "high")
+    return distinct.estimates(groups, ["sources"], "m").select("sources", "m", "ones", *(F.round(c, 3).alias(c) for c in ("estimate", "low", "high")))
 
 
 # 7 -- token ids
@@ -277,6 +308,44 @@ d AS (SELECT s.snapshot_id, s.nEntry, count(DISTINCT e.element) AS d FROM s LEFT
   AND e.inserted_at >= s.period_start AND e.inserted_at < s.period_start + to_days(s.period_days) GROUP BY s.snapshot_id, s.nEntry)
 SELECT snapshot_id FROM d WHERE nEntry IS NOT NULL AND abs(nEntry - d) > 0.1 * d"""
 
+_HASH60 = "('0x' || substr(md5(element), 1, 15))::BIGINT"
+
+
+def _sql_bits(n: str) -> str:
+    """distinct.bits_for in SQL."""
+    good = f"{n} / pow(2, e) <= {distinct.MOST_FULL} AND sqrt(pow(2, e) * ({{0}} - greatest({n}, 1) / pow(2, e))) / greatest({n}, 1) <= {ERROR}"
+    # e^t - 1 in terms that stay exact for small t
+    t = f"(greatest({n}, 1) / pow(2, e))"
+    expm1 = f"CASE WHEN {t} < 0.001 THEN {t} + {t} * {t} / 2 + {t} * {t} * {t} / 6 ELSE exp({t}) - 1 END"
+    return f"(1::BIGINT << list_filter(range({distinct.bits_for(1, ERROR).bit_length() - 1}, 60), lambda e: {good.format(f'({expm1})')})[1])"
+
+
+_BOUNDED = """x AS (SELECT *, CASE WHEN ones < m THEN -m::DOUBLE * ln(1 - ones / m::DOUBLE) END AS estimate FROM counted),
+b AS (SELECT *, 6 * sqrt(m::DOUBLE * (exp(estimate / m) - 1 - estimate / m)) + CASE WHEN ones > 1 THEN 1 ELSE 0 END AS spread FROM x)"""
+_LOW, _HIGH = "round(coalesce(greatest(ones::DOUBLE, estimate - spread), ones::DOUBLE), 3)", "round(estimate + spread, 3)"
+
+_ESTIMATES = f"""WITH e AS ({_sql_elements("mi_element", "id, filter_id, inserted_at")}),
+c AS (SELECT ('0x' || substr(md5(filter_id), 1, 3))::BIGINT AS cell, id FROM mi_element WHERE filter_id IS NOT NULL),
+whole AS (SELECT cell, {_sql_bits("n")} AS m FROM (SELECT cell, count(*)::DOUBLE AS n FROM c GROUP BY cell)),
+part AS (SELECT cell, {_sql_bits("n")} AS m FROM (SELECT (cell + id * {distinct.CELL_STEP}) % {distinct.CELLS} AS cell, count(*)::DOUBLE AS n FROM c WHERE id IS NOT NULL GROUP BY 1)),
+s AS (SELECT DISTINCT snapshot_id, filter_id, id, period_start, period_days, nEntry, Entry, ('0x' || substr(md5(filter_id), 1, 3))::BIGINT AS cell FROM filter_snapshot),
+z AS (SELECT s.*, CASE WHEN s.id IS NULL THEN whole.m ELSE part.m END AS m FROM s LEFT JOIN whole USING (cell) LEFT JOIN part ON part.cell = (s.cell + s.id * {distinct.CELL_STEP}) % {distinct.CELLS}),
+counted AS (SELECT z.snapshot_id, z.m, count(DISTINCT {_HASH60} % z.m) AS ones FROM z JOIN e ON e.filter_id = z.filter_id AND (z.id IS NULL OR z.id = e.id)
+  AND e.inserted_at::DATE >= z.period_start::DATE AND e.inserted_at::DATE < z.period_start::DATE + z.period_days GROUP BY z.snapshot_id, z.m),
+{_BOUNDED}
+SELECT s.snapshot_id, filter_id, id, period_start, period_days, period_start = date_trunc('day', period_start) AS whole_days, CASE WHEN ones IS NULL THEN 0.0::DOUBLE ELSE round(estimate, 3) END AS estimate,
+CASE WHEN ones IS NULL THEN 0.0::DOUBLE ELSE {_LOW} END AS low, CASE WHEN ones IS NULL THEN 0.0::DOUBLE ELSE {_HIGH} END AS high, nEntry, Entry, nEntry > Entry AS more_than_entered FROM s LEFT JOIN b USING (snapshot_id)"""
+
+_UNIONS = f"""WITH e AS ({_sql_elements("mi_element", "id")} AND id <> 0),
+size AS (SELECT {_sql_bits("n")} AS m FROM (SELECT count(*)::DOUBLE AS n FROM mi_element)),
+p AS (SELECT DISTINCT id, {_HASH60} % m AS pos, m FROM e, size),
+i AS (SELECT DISTINCT id FROM p),
+g AS (SELECT id::VARCHAR AS sources, pos, m FROM p UNION ALL
+  SELECT i.id || '+' || (i.id + 1), pos, m FROM i JOIN i j ON j.id = i.id + 1 JOIN p ON p.id IN (i.id, j.id)),
+counted AS (SELECT sources, m, count(DISTINCT pos) AS ones FROM g GROUP BY sources, m),
+{_BOUNDED}
+SELECT sources, m, ones, round(estimate, 3) AS estimate, {_LOW} AS low, {_HIGH} AS high FROM b"""
+
 _REPEATED = r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r\f\v]+'), lambda x: x <> '') AS ws FROM documents),
 g AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
 t AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1),
@@ -309,6 +378,8 @@ SELECT seq_id, size, coalesce(shared, 0)::BIGINT AS shared, CASE WHEN size > 0 T
         "p5_overlaps": _OVERLAPS + " SELECT * FROM o",
         "p5_found": _OVERLAPS + " SELECT id_a, id_b FROM o WHERE shared * 10 >= either",
         "p6_found": _SNAPSHOTS,
+        "p6_estimates": _ESTIMATES,
+        "p6_unions": _UNIONS,
         "p9_lines": _LINES,
         "p9_found": _REPEATED + " SELECT doc_id FROM r WHERE words > 0 AND repeated * 2 >= words",
         "p9_shares": _REPEATED + " SELECT doc_id, words, repeated, CASE WHEN words > 0 THEN round(repeated / words, 6) ELSE 0.0 END AS share FROM r",

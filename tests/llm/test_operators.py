@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siftloom.llm import distinct, heavy, mixing, repetition, seen, sets, spans, terms, tokens
+from siftloom.llm import distinct, heavy, mixing, queries, repetition, seen, sets, spans, terms, tokens
 
 # 1
 
@@ -285,12 +285,67 @@ def test_overlaps_follow_joins_and_leaves(spark):
 
 
 @pytest.mark.parametrize("error", [0.005, 0.02])
-def test_sizes_meet_the_target(spark, error):
-    for n in (0, 1, 50, 1000, 40_000, 1_000_000):
-        m = distinct.bits_for(n, error)
-        assert m & (m - 1) == 0 and m >= n and distinct.relative_error(max(n, 1), m) <= error
-        col = spark.range(1).select(distinct.bits_column(F.lit(n), error)).first()[0]
-        assert col & (col - 1) == 0 and col >= n and distinct.relative_error(max(n, 1), col) <= error
+def test_sizes_meet_the_target(error):
+    for bound in (0, 1, 50, 1000, 40_000, 1_000_000, 10**9):
+        m = distinct.bits_for(bound, error)
+        assert m & (m - 1) == 0
+        assert all(distinct.relative_error(n, m) <= error for n in {1, max(1, bound // 100), max(1, bound // 2), max(1, bound)})
+        assert m == distinct.bits_for(0, error) or bound / (m / 2) > distinct.MOST_FULL or distinct.relative_error(bound, m // 2) > error
+    assert distinct.bits_for(10**7, error) < 10**7
+
+
+def test_cells_bound_their_groups(spark):
+    rows = [(f"f{i % 7}", i % 3) for i in range(60_000)] + [("f0", None), (None, 1)]
+    df = spark.createDataFrame(rows, "f string, id bigint")
+    whole, part = distinct.sized(df, "f", "id", 0.02)
+    got = df.select("f", "id", whole.alias("w"), part.alias("p")).distinct().collect()
+    for r in got:
+        if r.f is not None:
+            assert r.w >= distinct.bits_for(sum(x[0] == r.f for x in rows), 0.02)
+            assert r.p is None if r.id is None else r.p >= distinct.bits_for(rows.count((r.f, r.id)), 0.02)
+    whole, part = distinct.sized(df.limit(0), "f", "id", 0.02)
+    assert df.select(whole.alias("w")).where("f is not null").agg(F.max("w")).first()[0] == distinct.bits_for(1, 0.02)
+
+
+def test_partial_results_are_small(spark):
+    """A tenth of the rows of a group of a million identifiers, in each task, before anything is shuffled."""
+    m = distinct.bits_for(1_000_000, 0.005)
+    rows = spark.range(0, 1_000_000, 1, 4).select(F.lit(1).alias("g"), F.col("id").cast("string").alias("k"), F.lit(m).cast("bigint").alias("m"))
+    task = rows.withColumn("task", F.spark_partition_id())
+    assert distinct.words(task, ["g", "task"], "k", "m").count() <= 100_000
+    r = distinct.estimates(distinct.words(rows, ["g"], "k", "m"), ["g"], "m").first()
+    assert abs(r.estimate - 1_000_000) < 20_000 and r.low <= 1_000_000 <= r.high
+
+
+def test_snapshots_of_any_period(spark, tmp_path):
+    """Days, part days, unknown filters, sources and nulls against exact counts."""
+    import datetime as dt
+
+    import pandas as pd
+
+    rng = random.Random(5)
+    t0 = dt.datetime(2024, 3, 1)
+    letters = lambda: "".join(rng.choice("ACGT") for _ in range(31))
+    pool = [letters() for _ in range(400)]
+    rows = [(i, rng.choice([None, 0, 1, 2]), rng.choice(["f", "g", None]), rng.choice([*pool, None, "acgn", ""]), t0 + dt.timedelta(minutes=rng.randrange(0, 14 * 1440)) if rng.random() < 0.95 else None) for i in range(6000)]
+    pd.DataFrame(rows, columns=["elem_id", "id", "filter_id", "seq", "inserted_at"]).astype({"id": "Int64"}).to_parquet(tmp_path / "mi_element.parquet", coerce_timestamps="us")
+    base = {}
+    snaps = []
+    for n, (f, s, day, hours, days) in enumerate([("f", None, 0, 0, 14), ("f", 1, 0, 0, 14), ("g", 2, 3, 0, 7), ("g", None, 5, 7, 1), ("f", 2, 2, 13, 2), ("x", None, 0, 0, 7), ("x", 5, 0, 0, 1), (None, None, 0, 0, 1), ("f", 9, 0, 0, 14), ("g", None, 20, 0, 1)]):
+        start = t0 + dt.timedelta(days=day, hours=hours)
+        canon = lambda x: min(x, x.translate(str.maketrans("ACGT", "TGCA"))[::-1])
+        base[n] = len({canon(q) for _, i, g, q, at in rows if q and set(q) <= set("ACGT") and g == f and f and at and start <= at < start + dt.timedelta(days=days) and s in (None, i)})
+        for claim in (0, base[n], int(base[n] * 1.1), int(base[n] * 1.1) + 1, None):
+            snaps.append((len(snaps), f, s, start, days, claim, 10**6, n))
+    frame = pd.DataFrame(snaps + snaps[:3], columns=["snapshot_id", "filter_id", "id", "period_start", "period_days", "nEntry", "Entry", "n"]).astype({"id": "Int64", "nEntry": "Int64"})
+    frame.drop(columns="n").to_parquet(tmp_path / "filter_snapshot.parquet", coerce_timestamps="us")
+    found = {r.snapshot_id for r in queries.p6_found(spark, str(tmp_path)).collect()}
+    assert found == {i for i, _, _, _, _, claim, _, n in snaps if claim is not None and abs(claim - base[n]) * 10 > base[n]}
+    for r in queries.p6_estimates(spark, str(tmp_path)).collect():
+        n = snaps[r.snapshot_id][7]
+        if r.whole_days:
+            assert r.low - 0.001 <= base[n] <= r.high + 0.001
+        assert r.whole_days == (n not in (3, 4))
 
 
 def test_estimates_and_unions(spark):
