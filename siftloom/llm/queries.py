@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftloom.functions import dna
 from siftloom.llm import distinct, heavy, mixing, repetition, seen, sets, spans, terms, tokens
-from siftloom.session import durable, table
+from siftloom.session import durable, shuffle_partitions, table
 
 SUPPORT = 0.005
 COMMON = 0.1
@@ -46,16 +46,35 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return seen.verified(durable(_answers(spark, d), "answers")).select(F.col("id").alias("seq_id")).distinct()
 
 
-def p2_rate(spark: SparkSession, d: str) -> DataFrame:
-    """Per filter: records, answers "seen", true ones, wrong ones and their rate, beside the bound of its chains and dFPR."""
+def _rates(spark: SparkSession, d: str) -> DataFrame:
     answered = durable(_answers(spark, d), "answers")
-    true = seen.verified(answered).groupBy(F.col("grp").alias("g")).agg(F.countDistinct("id").alias("seen_before"))
-    per = answered.groupBy("grp").agg(F.countDistinct("id").alias("records"), F.countDistinct(F.when(F.col("seen"), F.col("id"))).alias("answered_seen"), F.max("bound").alias("bound"))
-    headers = table(spark, d, "bit_filter").groupBy(F.col("filter_id").alias("f")).agg(F.max("dFPR").alias("dFPR"))
-    out = per.join(true, F.col("grp").eqNullSafe(F.col("g")), "left").join(headers, F.col("grp") == F.col("f"), "left").withColumn("seen_before", F.coalesce("seen_before", F.lit(0)))
-    wrong = F.col("answered_seen") - F.col("seen_before")
-    new = F.col("records") - F.col("seen_before")
-    return out.select(F.col("grp").alias("filter_id"), "records", "answered_seen", "seen_before", wrong.alias("wrong"), F.when(new > 0, wrong / new).alias("measured_rate"), "bound", "dFPR")
+    true = durable(seen.verified(answered), "true")
+    counts = true.groupBy(F.col("grp").alias("g")).agg(F.countDistinct("id").alias("seen_before"))
+    # A true case is the record with its key; an answer "seen" to it is one of those that were verified.
+    per = answered.groupBy("grp").agg(
+        F.countDistinct("id").alias("records"), F.countDistinct(F.when(F.col("seen"), F.col("id"))).alias("answered_seen"), F.max("bound").alias("bound"),
+        F.max("layers").alias("layers"), F.min(F.when(F.col("layers") > 0, F.col("least_k"))).alias("least_k"), F.max("most_k").alias("most_k"), F.countDistinct("a", "b").alias("keys"),
+    )
+    chains = answered.groupBy("grp", F.pmod(F.xxhash64("grp", "a"), F.lit(shuffle_partitions(spark))).alias("way")).agg(F.max("bits").alias("bits")).groupBy(F.col("grp").alias("c")).agg(F.sum("bits").alias("bits"))
+    headers = table(spark, d, "bit_filter").groupBy(F.col("filter_id").alias("f")).agg(F.max("dFPR").alias("dFPR"), F.max(F.when(F.col("HashNum") > 0, F.col("HashNum"))).alias("k_wanted"))
+    out = per.join(counts, F.col("grp").eqNullSafe(F.col("g")), "left").join(headers, F.col("grp") == F.col("f"), "left").join(chains, F.col("grp").eqNullSafe(F.col("c")), "left")
+    return out.withColumn("seen_before", F.coalesce("seen_before", F.lit(0))).withColumns({"wrong": F.col("answered_seen") - F.col("seen_before"), "new": F.col("records") - F.col("seen_before")})
+
+
+def p2_rate(spark: SparkSession, d: str) -> DataFrame:
+    """Per filter: records, those seen before, and whether the wrong answers keep to the bound of its chains (six standard errors and
+    one answer allowed), the bound to dFPR, and every layer to HashNum."""
+    out = _rates(spark, d)
+    expected = F.col("new") * F.col("bound")
+    k_kept = F.col("k_wanted").isNull() | ((F.col("least_k") == F.col("k_wanted")) & (F.col("most_k") == F.col("k_wanted")))
+    wanted = F.when((F.col("dFPR") > 0) & (F.col("dFPR") < 0.5), F.col("dFPR")).otherwise(F.lit(seen.DEFAULT_ERROR))
+    return out.select(F.col("grp").alias("filter_id"), "records", "seen_before", ((F.col("wrong") >= 0) & (F.col("wrong") <= expected + 6 * F.sqrt(expected) + 1)).alias("rate_kept"), (F.col("bound") <= wanted).alias("bound_kept"), k_kept.alias("k_kept"), "dFPR", "k_wanted")
+
+
+def p2_measured(spark: SparkSession, d: str) -> DataFrame:
+    """Per filter: answers, wrong ones and their rate beside the bound of its chains and dFPR, and what the chains took."""
+    out = _rates(spark, d)
+    return out.select(F.col("grp").alias("filter_id"), "records", "answered_seen", "seen_before", "wrong", F.when(F.col("new") > 0, F.col("wrong") / F.col("new")).alias("measured_rate"), "bound", "dFPR", "k_wanted", "least_k", "most_k", "layers", (F.col("bits") / F.col("keys")).alias("bits_a_key"))
 
 
 # 3 -- every term
@@ -258,7 +277,7 @@ def p9_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (p1_found, p1_counts, p2_found, p2_rate, p3_counts, p3_found, p4_found, p4_part, p5_overlaps, p5_found, p6_estimates, p6_found, p6_unions, p7_ids, p8_selection, p8_shares, p9_found, p9_shares, p9_lines)
+    named = (p1_found, p1_counts, p2_found, p2_rate, p2_measured, p3_counts, p3_found, p4_found, p4_part, p5_overlaps, p5_found, p6_estimates, p6_found, p6_unions, p7_ids, p8_selection, p8_shares, p9_found, p9_shares, p9_lines)
     return {f.__name__: f for f in named}
 
 
@@ -282,6 +301,13 @@ _SEEN = f"""WITH c AS (SELECT DISTINCT seq_id, filter_id, loaded_at, {_CLEAN} AS
 k AS (SELECT seq_id, filter_id, loaded_at, least(c, {_REV.format("c")}) AS key FROM c WHERE c <> '')
 SELECT DISTINCT seq_id FROM (SELECT seq_id, row_number() OVER (PARTITION BY filter_id, key ORDER BY loaded_at, seq_id) AS rn FROM k) WHERE rn > 1"""
 
+_RATE = _SEEN.replace("SELECT DISTINCT seq_id FROM (SELECT seq_id,", "SELECT DISTINCT seq_id, filter_id FROM (SELECT seq_id, filter_id,")
+_RATE = f"""WITH c AS (SELECT DISTINCT seq_id, filter_id FROM contig WHERE {_CLEAN} <> ''),
+b AS ({_RATE}),
+f AS (SELECT filter_id, max(dFPR) AS dFPR, max(CASE WHEN HashNum > 0 THEN HashNum END) AS k_wanted FROM bit_filter GROUP BY filter_id)
+SELECT c.filter_id, count(DISTINCT c.seq_id) AS records, count(DISTINCT b.seq_id) AS seen_before, true AS rate_kept, true AS bound_kept, true AS k_kept, any_value(dFPR) AS dFPR, any_value(k_wanted) AS k_wanted
+FROM c LEFT JOIN b ON c.seq_id = b.seq_id AND c.filter_id IS NOT DISTINCT FROM b.filter_id LEFT JOIN f ON f.filter_id = c.filter_id GROUP BY c.filter_id"""
+
 _TERMS = f"""WITH e AS ({_sql_elements("cbf_insert", "seq_id, pos, filter_id")}),
 a AS (SELECT filter_id, count(DISTINCT seq_id) AS all_reads FROM e GROUP BY filter_id),
 c AS (SELECT filter_id, element AS seq, count(DISTINCT (seq_id, pos)) AS occurrences, count(DISTINCT seq_id) AS reads FROM e GROUP BY filter_id, element),
@@ -368,6 +394,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": _HEAVY.format("field, value"),
         "p1_counts": _HEAVY.format("field, value, n, n_rows"),
         "p2_found": _SEEN,
+        "p2_rate": _RATE,
         "p3_counts": _TERMS + " SELECT * FROM m",
         "p3_found": _TERMS + " SELECT filter_id, seq, 'rare' AS mark FROM m WHERE rare UNION ALL SELECT filter_id, seq, 'common' FROM m WHERE common",
         "p4_found": _SPANS + " SELECT * FROM spans",

@@ -1,9 +1,11 @@
 """Problem 2: has this key been seen before?
 
-Method: scalable Bloom chains. A chain starts with a small layer; when a layer reaches the number of keys it was sized for
-(half of its bits set), a layer for twice as many keys at half the error rate follows. The error rates sum to a bound that
-holds however long the history gets: target x (1 - r) x (1 + r + r^2 + ...) <= target. Records are hash-partitioned by
-(group, key) and run through the chain of their group in load order, so only one chain is in memory at a time.
+Method: scalable Bloom chains. A chain starts with a small layer; when a layer reaches the number of keys it was sized for, a
+layer for twice as many keys at a tighter error rate follows. The error rates sum to a bound that holds however long the history
+gets: target x (1 - r) x (1 + r + r^2 + ...) <= target. A given number of hashes is that of every layer, and the layer's bits
+follow from it and the layer's rate; without one each layer takes the best number for its rate. Few hashes at a tight rate cost
+many bits a key, which the answers state. Records are hash-partitioned by (group, key) and run through the chain of their group
+in load order, so only one chain is in memory at a time.
 
 Copies of a key beyond the second within one chunk of a map task are settled there: they are answered at once and skip
 the chain, so that a key with a third of all rows does not flood one task. Every repeated key is still put to the chain.
@@ -31,17 +33,18 @@ CHUNK = 1 << 16
 #: Records of a key that a chunk leaves to the chain: one that is new there, and one that repeats it.
 LEADERS = 2
 DEFAULT_ERROR = 0.001
+#: Keys of a chain's first layer, and how the error rate falls from layer to layer.
+FIRST, TIGHTEN = 8, 0.8
+#: Keys that are asked together at most.
+SLICE = 4096
 LATEST = (1 << 63) - 1
 
 
 class Layer:
     def __init__(self, capacity: int, error: float, hashes: int | None):
         self.capacity, self.error = capacity, error
-        best = max(1, round(-math.log2(error)))
-        size = lambda k: max(64, math.ceil(-k * capacity / math.log1p(-(error ** (1 / k)))))
-        # A given number of hashes is kept unless it would take over four times the best size.
-        self.k = hashes if hashes and size(hashes) <= 4 * size(best) else best
-        self.m = size(self.k)
+        self.k = hashes or max(1, round(-math.log2(error)))
+        self.m = max(64, math.ceil(-self.k * capacity / math.log1p(-(error ** (1 / self.k)))))
         self.bits = np.zeros((self.m + 7) // 8, np.uint8)
         self.keys = 0
 
@@ -62,7 +65,7 @@ class Layer:
 class BloomChain:
     """Layers that grow geometrically while their error rates tighten."""
 
-    def __init__(self, error: float = DEFAULT_ERROR, hashes: int | None = None, first: int = 512, growth: int = 2, tighten: float = 0.5):
+    def __init__(self, error: float = DEFAULT_ERROR, hashes: int | None = None, first: int = FIRST, growth: int = 2, tighten: float = TIGHTEN):
         self.error, self.hashes, self.growth, self.tighten = error, hashes, growth, tighten
         self.layers = [Layer(first, error * (1 - tighten), hashes)]
 
@@ -71,6 +74,10 @@ class BloomChain:
         """Probability at most that a new key is answered "seen", over all layers so far."""
         return 1 - math.prod(1 - x.error for x in self.layers)
 
+    @property
+    def bits(self) -> int:
+        return sum(x.m for x in self.layers)
+
     def has(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         seen = np.zeros(len(a), bool)
         for x in reversed(self.layers):
@@ -93,7 +100,17 @@ class BloomChain:
             at += n
 
     def offer(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Answers for keys in order, and adds the new ones; copies within the call are asked once the first is added."""
+        """Answers for keys in order, and adds the new ones, a slice at a time: a slice is asked together, and is small beside the keys
+        held, so that nearly every key meets all earlier ones in the bits."""
+        seen, at = np.empty(len(a), bool), 0
+        while at < len(a):
+            to = at + min(SLICE, max(FIRST, sum(x.keys for x in self.layers) // 2))
+            seen[at:to] = self._offered(a[at:to], b[at:to])
+            at = to
+        return seen
+
+    def _offered(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Copies within the slice are asked once the first is added."""
         pairs = np.empty(len(a), dtype=[("a", np.uint64), ("b", np.uint64)])
         pairs["a"], pairs["b"] = a, b
         _, first = np.unique(pairs, return_index=True)
@@ -107,7 +124,6 @@ class BloomChain:
         return seen
 
 
-
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Within a chunk, keeps the first LEADERS records of each key and answers the others; drops copies of a record."""
 
@@ -136,7 +152,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(held)
 
 
-OUT = ["grp", "id", "at", "a", "b", "seen", "bound"]
+OUT = ["grp", "id", "at", "a", "b", "seen", "bound", "layers", "least_k", "most_k", "bits"]
 
 
 class _Stream:
@@ -147,20 +163,30 @@ class _Stream:
 
     def run(self, x: pa.RecordBatch) -> pa.RecordBatch:
         n = x.num_rows
-        groups, errors, hashes = (x.column(c).to_pylist() for c in ("grp", "error", "hashes"))
+        names = x.column("grp").dictionary_encode(null_encoding="encode")
+        code = names.indices.to_numpy()
         a, b, i = (x.column(c).to_numpy() for c in ("a", "b", "id"))
-        seen, bound, keep = np.zeros(n, bool), np.zeros(n), np.ones(n, bool)
-        starts = [0, *(j for j in range(1, n) if groups[j] != groups[j - 1]), n] if n else []
+        seen, keep = np.zeros(n, bool), np.ones(n, bool)
+        keep[1:] = (code[1:] != code[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (i[1:] != i[:-1])  # not the same record again
+        state = np.zeros((5, n))
+        starts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), n] if n else []
         for lo, hi in zip(starts, starts[1:]):
-            if self.chain is None or groups[lo] != self.group:
-                self.group, self.last, self.chain = groups[lo], None, BloomChain(errors[lo], hashes[lo])
-            keys = [*zip(i[lo:hi].tolist(), a[lo:hi].tolist(), b[lo:hi].tolist())]
-            fresh = np.array([k != p for k, p in zip(keys, [self.last, *keys])], bool)  # not the same record again
-            self.last, keep[lo:hi] = keys[-1], fresh
-            at = lo + np.flatnonzero(fresh)
+            group = names.dictionary[int(code[lo])].as_py()
+            if self.chain is None or group != self.group:
+                self.group, self.chain = group, BloomChain(x.column("error")[lo].as_py(), x.column("hashes")[lo].as_py())
+            elif lo == 0:
+                keep[0] = (i[0], a[0], b[0]) != self.last
+            at = lo + np.flatnonzero(keep[lo:hi])
             seen[at] = self.chain.offer(a[at].astype(np.uint64), b[at].astype(np.uint64))
-            bound[at] = self.chain.bound
-        return pa.record_batch([*(x.column(c) for c in OUT[:5]), pa.array(seen), pa.array(bound)], names=OUT).filter(pa.array(keep))
+            k = [y.k for y in self.chain.layers]
+            state[:, lo:hi] = np.array([self.chain.bound, len(k), min(k), max(k), self.chain.bits])[:, None]
+        if n:
+            self.last = (i[-1], a[-1], b[-1])
+        return _rows(x, seen, state).filter(pa.array(keep))
+
+
+def _rows(x: pa.RecordBatch, seen: np.ndarray, state: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([*(x.column(c) for c in OUT[:5]), pa.array(seen), pa.array(state[0]), *(pa.array(c.astype(np.int64)) for c in state[1:])], names=OUT)
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,11 +196,12 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stream.run(x.filter(pa.array(~settled)))
         if settled.any():
             y = x.filter(pa.array(settled))
-            yield pa.record_batch([*(y.column(c) for c in OUT[:5]), pa.array(np.ones(y.num_rows, bool)), pa.array(np.zeros(y.num_rows))], names=OUT)
+            yield _rows(y, np.ones(y.num_rows, bool), np.zeros((5, y.num_rows)))
 
 
 def answers(records: DataFrame, key: Column, group: str, at: str, record_id: str, headers: DataFrame | None = None) -> DataFrame:
-    """(grp, id, at, a, b, seen, bound): the chain's answer for every record, and the bound on wrong ones at that time.
+    """(grp, id, at, a, b, seen, bound, layers, least_k, most_k, bits): the chain's answer for every record, the bound on wrong ones at that
+    time, and the chain's layers, the fewest and most hashes of one, and its bits; zeros where a record skipped the chain.
 
     headers: (group, error, hashes) of each group; a missing or unusable error rate (not within 0 and 0.5) becomes
     DEFAULT_ERROR, a missing or zero number of hashes the best for the error rate. One row a group; Catalyst picks the join."""
@@ -191,7 +218,7 @@ def answers(records: DataFrame, key: Column, group: str, at: str, record_id: str
     # One pass over the settled rows: those answered already go their own way by id and skip the chain.
     routed = settled.withColumn("way", F.when(F.col("settled"), F.xxhash64("id")).otherwise(F.xxhash64("grp", "a")))
     ordered = routed.repartition(shuffle_partitions(spark), "way").sortWithinPartitions("settled", "grp", "at", "id").drop("way")
-    return ordered.mapInArrow(_answer, "grp string, id long, at long, a long, b long, seen boolean, bound double")
+    return ordered.mapInArrow(_answer, "grp string, id long, at long, a long, b long, seen boolean, bound double, layers long, least_k long, most_k long, bits long")
 
 
 def verified(answered: DataFrame) -> DataFrame:

@@ -72,8 +72,16 @@ def test_chain_bound_and_rate():
     assert chain.bound <= 0.01 and wrong / 20_000 <= 0.01 + 3 * math.sqrt(0.01 / 20_000)
 
 
-def test_chain_takes_the_headers_hashes():
-    assert {x.k for x in seen.BloomChain(0.001, 3).layers} == {3}
+@pytest.mark.parametrize("error,hashes", [(1e-4, 4), (0.01, 2), (0.05, 1), (0.001, 13)])
+def test_chain_keeps_the_headers_hashes(error, hashes):
+    chain = seen.BloomChain(error, hashes)
+    rng = np.random.default_rng(3)
+    wrong = 0
+    for _ in range(10):
+        a, b = rng.integers(0, 2**63, 400, dtype=np.uint64), rng.integers(0, 2**63, 400, dtype=np.uint64)
+        wrong += int(chain.offer(a, b).sum())
+    assert len(chain.layers) >= 8 and {x.k for x in chain.layers} == {hashes}
+    assert chain.bound <= error and wrong / 4000 <= error + 4 * math.sqrt(error / 4000)
 
 
 def brute_seen(rows):
