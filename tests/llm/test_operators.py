@@ -222,7 +222,7 @@ def mixed_records(seed, n=40, length=20):
     return rows + rows[:5] + [(100, 1, None), (101, 2, ""), (102, 3, "ACGT")]
 
 
-@pytest.mark.parametrize("seed,most", [(1, 200_000), (2, 200_000), (3, 60), (4, 0)])
+@pytest.mark.parametrize("seed,most", [(1, 200_000), (2, 200_000), (3, 60), (4, 0), (5, 30)])
 def test_spans(spark, seed, most):
     rows = mixed_records(seed)
     df = spark.createDataFrame(rows, "rid bigint, src bigint, t string").withColumns({"anchor": F.lit(1), "lo": F.lit("x")})
@@ -243,17 +243,36 @@ def test_spans_of_nothing_and_of_long_texts(spark):
     assert sorted(tuple(r) for r in spans.shared_spans(df, "rid", "src", F.col("t")).collect()) == [(1, 1, 60_000), (2, 2, 60_001)]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.text("AC", min_size=1, max_size=14), st.integers(1, 3)), min_size=1, max_size=6))
-def test_automaton_statistics(texts):
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.text("AC", min_size=1, max_size=14), st.integers(1, 3)), min_size=1, max_size=6), min_size=1, max_size=3))
+def test_automaton_statistics(shards):
     sam = spans.SuffixAutomaton()
-    for t, s in texts:
-        sam.add(t, s, s)
-    sam.finish()
-    for t, _ in texts:
-        for e, got in enumerate(sam.statistics(t), 1):
-            want = max([k for k in range(e + 1) if len({s for u, s in texts if t[e - k : e] in u}) > 1], default=0)
-            assert got == want
+    want = []
+    for texts in shards:
+        sam.shard()
+        for t, s in texts:
+            sam.add([ord(c) for c in t], s, s)
+            want += [max([k for k in range(e + 1) if len({s for u, s in texts if t[e - k : e] in u}) > 1], default=0) for e in range(1, len(t) + 1)]
+    assert sam.statistics().tolist() == want
+
+
+def test_stretches_and_their_hashes():
+    rng = random.Random(11)
+    part = "".join(rng.choice("ACGT") for _ in range(300))
+    texts = [part.encode(), ("NN" + part + "N").encode(), b"", (part[:100] + "T" + part[101:]).encode(), ("A" * 120).encode()]
+    for word in (16, 24, 36, 50):
+        c = spans._Cut(texts, 50, word)
+        letters = [texts[t][a : a + n] for t, a, n in zip(c.text, c.at, c.size)]
+        assert len({(a, h) for a, h in zip(c.anchor.tolist(), c.hash.tolist())}) == len({(a, x) for a, x in zip(c.anchor.tolist(), letters)})
+        by = collections.defaultdict(set)
+        for h, x in zip(c.hash.tolist(), letters):
+            by[h].add(x)
+        assert all(len(x) == 1 for x in by.values())
+        packed = c.letters(np.arange(len(c.start))).to_pylist()
+        assert [bytes(b"ACGT"[y] for y in spans._unpacked(d, n)) for d, n in zip(packed, c.size)] == letters
+        # Every plain window lies in one stretch of its text.
+        windows = collections.Counter((t, a + i) for t, a, n in zip(c.text, c.at, c.size) for i in range(n - 49))
+        assert windows == {(t, i): 1 for t, x in enumerate(texts) for i in range(len(x) - 49) if b"N" not in x[i : i + 50]}
 
 
 # 5
