@@ -80,18 +80,13 @@ def p2_measured(spark: SparkSession, d: str) -> DataFrame:
 # 3 -- every term
 
 
-def _elements(spark: SparkSession, d: str) -> DataFrame:
-    """Cleaned once and written, as prefixes, counts and reads are taken from it one after another."""
-    rows = dna.with_element(table(spark, d, "cbf_insert").select("seq_id", "pos", "seq", "filter_id"))
-    return durable(rows.where(F.col("element").isNotNull()).select("seq_id", "pos", "filter_id", "element"), "elements")
-
-
 def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     """(filter_id, seq, occurrences, reads, rare, common): a filter without a threshold calls nothing rare."""
-    rows = _elements(spark, d)
-    counts = terms.term_counts(rows, "element", "seq_id", "filter_id", "pos")
-    reads = rows.select("filter_id", "seq_id").distinct().groupBy(F.col("filter_id").alias("f")).agg(F.count(F.lit(1)).alias("all_reads"))
+    rows = dna.with_element(table(spark, d, "cbf_insert").select("seq_id", "pos", "seq", "filter_id"))
+    counts, totals = terms.counted(rows, "element", "seq_id", "filter_id", "pos")
+    reads = totals.select(F.col("grp").alias("f"), F.col("records").alias("all_reads"))
     limits = table(spark, d, "counting_filter").groupBy(F.col("filter_id").alias("c")).agg(F.max("threshold").alias("threshold"))
+    # One row a filter on the small sides.
     joined = counts.join(reads, F.col("grp").eqNullSafe(F.col("f")), "left").join(limits, F.col("grp") == F.col("c"), "left")
     rare = F.coalesce(F.col("records") < F.col("threshold"), F.lit(False))
     common = F.col("records") >= F.col("all_reads") * F.lit(COMMON)

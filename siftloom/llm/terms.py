@@ -1,15 +1,18 @@
 """Problem 3: how often every distinct term occurs, and in how many records.
 
-Method: burst-trie counting. Terms are routed to workers by prefixes that adapt to the data: short prefixes, longer ones
-where a short one holds more than a worker's share, and where a long one still does (one term may hold a third of all
-rows) its records are spread by salt. A worker takes its rows in record order and counts them in a trie whose leaves are
-compact sorted containers; a container that outgrows its limit bursts into children by the next byte. A term's entry
-remembers the last record it was seen in, so record counts need no list of records. Subtrees of the same prefix that come
-from several salts are merged at the end by adding up: a record has one salt, so no record counts twice.
+Method: burst-trie counting. Rows are gathered by record, all rows of a record in one place, where rows delivered again are found and
+the others are counted in a trie whose leaves are compact sorted containers; a container that outgrows its limit bursts into
+children by the next byte. A term's entry remembers the last record it was seen in, so record counts need no list of records.
+A term with a third of all rows is one entry of each trie from then on.
+
+The tries are cut into subtrees by prefixes that adapt to the data: short ones, and longer ones where the entries under a
+prefix are more than a worker's share. Matching subtrees of all workers travel to one of them, which merges them subtree by
+subtree; a record was counted by one worker only, so its counts add up. Rows and subtrees travel as compressed columns.
 
 Defined cases: null terms and null records are no rows; a null group is a group of its own; a row delivered again (same
 group, record, position and term) counts once; rows without a position count each; a term of any length is one term; an
-empty table gives no rows; extra columns are ignored.
+empty table gives no rows; extra columns are ignored. Terms above WIDE bytes are told apart by their first 24 bytes and 152
+bits of a digest.
 """
 
 from __future__ import annotations
@@ -24,8 +27,13 @@ from pyspark.sql import functions as F
 
 from siftloom.session import durable, shuffle_partitions
 
-SHORT, LONG = 4, 8
-CHUNK = 1 << 17
+#: Bytes of the shortest prefixes; each longer one has twice as many.
+SHORT = 4
+CHUNK = 1 << 18
+#: Entries of a trie that is sent away and begun anew, at the border of two buckets of records.
+FULL = 1 << 21
+#: Buckets of records a task.
+FINE = 4
 #: Terms above this many bytes are held as their beginning and a digest; the term itself is kept beside the trie.
 WIDE = 64
 
@@ -128,6 +136,16 @@ class BurstTrie:
                 children[b] = self._burst(c, depth + 1)
         return children
 
+    @classmethod
+    def of(cls, terms: np.ndarray, occ: np.ndarray, recs: np.ndarray, limit: int = 8192) -> BurstTrie:
+        """From distinct terms in order, with their counters."""
+        trie = cls(limit)
+        c = trie.root
+        c.terms, c.occ, c.recs, c.last = terms, occ, recs, np.full(len(terms), -1, np.int64)
+        if len(terms) > limit:
+            trie.root = trie._burst(c, 0)
+        return trie
+
     def merge(self, other: BurstTrie) -> None:
         """Adds a trie over other records, subtree by subtree."""
         self.root = self._merge(self.root, other.root, 0)
@@ -183,90 +201,252 @@ def _fast_keys(column: pa.Array, long: dict[bytes, bytes]) -> np.ndarray:
     if n and sizes[0] and (sizes == sizes[0]).all() and sizes[0] <= WIDE:
         data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(n, -1)
         return np.ascontiguousarray(np.hstack([data, np.ones((n, 1), np.uint8)])).view(f"S{sizes[0] + 1}").ravel()
-    return _keys(column.cast(pa.binary()).to_pylist(), long)
+    return _keys(column.to_pylist(), long)
 
 
-def _emit(group, trie: BurstTrie, long: dict[bytes, bytes]) -> Iterator[pa.RecordBatch]:
-    for c in trie.leaves():
-        if len(c.terms):
-            terms = [long.get(t[:-1], t[:-1]) for t in c.terms.tolist()]
-            yield pa.record_batch([pa.array([group] * len(terms), pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(c.occ, pa.int64()), pa.array(c.recs, pa.int64())], names=["grp", "term", "occurrences", "records"])
+_CODEC = pa.Codec("zstd", 1)
+
+
+def _packed(numbers: list[np.ndarray], terms: pa.Array) -> bytes:
+    """Columns of numbers and one of binary terms, compressed; the size of what is compressed comes first."""
+    offsets = np.frombuffer(terms.buffers()[1], np.int32)[terms.offset : terms.offset + len(terms) + 1]
+    letters = terms.buffers()[2]
+    raw = b"".join([np.array([len(terms), len(numbers)], np.int64).tobytes(), *(x.astype(np.int64).tobytes() for x in numbers), np.diff(offsets).tobytes(), memoryview(letters)[offsets[0] : offsets[-1]] if letters else b""])
+    return len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
+
+
+def _opened(body: bytes) -> tuple[list[np.ndarray], pa.Array]:
+    raw = _CODEC.decompress(body[8:], int.from_bytes(body[:8], "little"))
+    n, k = np.frombuffer(raw, np.int64, 2).tolist()
+    numbers = [np.frombuffer(raw, np.int64, n, 16 + 8 * n * i) for i in range(k)]
+    at = 16 + 8 * n * k
+    ends = np.cumsum(np.frombuffer(raw, np.int32, n, at))
+    return numbers, pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), raw.slice(at + 4 * n)])
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A published finaliser of 64 bits: shifts and multiplications that spread every bit over all others."""
+    x = x.view(np.uint64)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(32))
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by group, record, position and term."""
-    trie, group, long, last = None, None, {}, None
-
-    def take(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        nonlocal trie, group, long, last
-        t = t.combine_chunks()
-        cols = [t.column(c).combine_chunks() if t.num_rows else t.column(c) for c in ("grp", "record", "pos", "term")]
-        code = cols[0].dictionary_encode(null_encoding="encode").indices.to_numpy()
-        rec, pos = cols[1].to_numpy(), cols[2].to_numpy(zero_copy_only=False)
-        keys = _fast_keys(cols[3], long)
-        keep = np.ones(len(rec), bool)
-        keep[1:] = (code[1:] != code[:-1]) | (rec[1:] != rec[:-1]) | (pos[1:] != pos[:-1]) | (keys[1:] != keys[:-1])
-        groups = cols[0]
-        keep[0] = (groups[0].as_py(), rec[0], pos[0], keys[0]) != last
-        keep |= pos < 0
-        last = (groups[len(rec) - 1].as_py(), rec[-1], pos[-1], keys[-1])
-        cuts = np.flatnonzero(np.diff(code)) + 1
-        for lo, hi in zip([0, *cuts], [*cuts, len(rec)]):
-            g = groups[int(lo)].as_py()
-            if trie is None or g != group:
-                if trie is not None:
-                    yield from _emit(group, trie, long)
-                trie, group = BurstTrie(), g
-            k = keep[lo:hi]
-            trie.add(keys[lo:hi][k], rec[lo:hi][k])
-
-    held, rows = [], 0
+def _gathered_in(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    held, n = [], 0
     for b in batches:
         if b.num_rows:
             held.append(b)
-            rows += b.num_rows
-        if rows >= CHUNK:
-            yield from take(pa.Table.from_batches(held))
-            held, rows = [], 0
-    if rows:
-        yield from take(pa.Table.from_batches(held))
-    if trie is not None:
-        yield from _emit(group, trie, long)
+            n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _column(t: pa.Table, name: str) -> pa.Array:
+    c = t.column(name)
+    return c.chunk(0) if c.num_chunks == 1 else c.combine_chunks()
+
+
+def _bundled(buckets: int, chunk: int):
+    """(grp, bucket, body): the rows (record, position, term) of each bucket of records, a chunk at a time, in the order of records."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _gathered_in(batches, chunk):
+            grp = _column(t, "grp").dictionary_encode(null_encoding="encode")
+            code, rec, pos = grp.indices.to_numpy().astype(np.int64), _column(t, "record").to_numpy(), _column(t, "pos").to_numpy()
+            bucket = (_mixed(rec) % np.uint64(buckets)).astype(np.int64)
+            cell = code * buckets + bucket
+            order = np.lexsort((pos, rec, cell))
+            cell, rec, pos = cell[order], rec[order], pos[order]
+            terms = _column(t, "term").cast(pa.binary()).take(pa.array(order))
+            cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+            out = []
+            for lo, hi in zip(cuts, cuts[1:]):
+                steps = np.diff(rec[lo:hi], prepend=0)  # small but for the first, and so short when compressed
+                out.append((grp.dictionary[int(cell[lo] // buckets)].as_py(), int(cell[lo] % buckets), _packed([steps, pos[lo:hi]], terms[lo:hi])))
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), pa.int32(), pa.binary()))], names=["grp", "bucket", "body"])
+
+    return run
+
+
+SUBTREES = "grp string, prefix binary, n long, body binary, records long"
+
+
+def _once(rec: np.ndarray, pos: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(records, keys) in the order of records, rows delivered again left out."""
+    order = np.lexsort((pos, rec))
+    rec, pos, keys = rec[order], pos[order], keys[order]
+    beside = (rec[1:] == rec[:-1]) & (pos[1:] == pos[:-1]) & (pos[1:] >= 0)
+    if not beside.any():
+        return rec, keys
+    # Only rows of one position need their terms compared.
+    some = np.flatnonzero(np.append(beside, False) | np.append(False, beside))
+    keys[some] = keys[some][np.lexsort((keys[some], pos[some], rec[some]))]
+    keep = np.append(True, ~(beside & (keys[1:] == keys[:-1])))
+    return rec[keep], keys[keep]
+
+
+def _subtrees(group: str | None, trie: BurstTrie, long: dict[bytes, bytes], short: int) -> Iterator[tuple]:
+    """Rows of SUBTREES, one a short prefix."""
+    leaves = [c for c in trie.leaves() if len(c.terms)]
+    if not leaves:
+        return
+    wide = max(c.terms.dtype.itemsize for c in leaves)
+    terms = np.concatenate([c.terms.astype(f"S{wide}") for c in leaves])
+    occ, recs = (np.concatenate([getattr(c, f) for c in leaves]) for f in ("occ", "recs"))
+    yield from _by_prefix(group, terms, occ, recs, long, short)
+
+
+def _by_prefix(group: str | None, keys: np.ndarray, occ: np.ndarray, recs: np.ndarray, long: dict[bytes, bytes], size: int) -> Iterator[tuple]:
+    """keys in order."""
+    head = keys.astype(f"S{size}")
+    cuts = [0, *(np.flatnonzero(head[1:] != head[:-1]) + 1).tolist(), len(keys)]
+    for lo, hi in zip(cuts, cuts[1:]):
+        terms = pa.array([long.get(k[:-1], k[:-1]) for k in keys[lo:hi].tolist()], pa.binary())
+        yield group, bytes(head[lo]), hi - lo, _packed([occ[lo:hi], recs[lo:hi]], terms), 0
+
+
+def _sent(found: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*found), (pa.string(), pa.binary(), pa.int64(), pa.binary(), pa.int64()))], names=["grp", "prefix", "n", "body", "records"])
+
+
+def _counted(full: int, short: int):
+    """Bundles come sorted by group and bucket; a bucket has all rows of its records. Beside the subtrees, a row without a prefix gives
+    the number of a group's records."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bucket, held, long, trie, size, records = None, None, [], {}, None, 0, 0
+
+        def add() -> None:
+            nonlocal size, records
+            if held:
+                opened = [_opened(x) for x in held]
+                rec = np.concatenate([np.cumsum(x[0][0]) for x in opened])
+                pos = np.concatenate([x[0][1] for x in opened])
+                rec, keys = _once(rec, pos, _fast_keys(pa.concat_arrays([x[1] for x in opened]), long))
+                trie.add(keys, rec)
+                size += len(keys)
+                records += 1 + int((rec[1:] != rec[:-1]).sum())
+                held.clear()
+
+        def away() -> Iterator[pa.RecordBatch]:
+            nonlocal trie, size
+            found = [*_subtrees(now[0], trie, long, short)]
+            for i in range(0, len(found), 500):
+                yield _sent(found[i : i + 500])
+            trie, size = BurstTrie(), 0
+            long.clear()
+
+        for b in batches:
+            for g, k, body in zip(*(b.column(c).to_pylist() for c in ("grp", "bucket", "body"))):
+                if now is None or (g,) != now or k != bucket:
+                    add()
+                    if now is not None and ((g,) != now or size > full):
+                        yield from away()
+                    if now is not None and (g,) != now:
+                        yield _sent([(now[0], None, 0, None, records)])
+                    if now is None or (g,) != now:
+                        trie, size, records = BurstTrie(), 0, 0
+                    now, bucket = (g,), k
+                held.append(body)
+        add()
+        if now is not None:
+            yield from away()
+            yield _sent([(now[0], None, 0, None, records)])
+
+    return run
+
+
+def _burst(size: int):
+    """Subtrees again by longer prefixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for g, body in zip(b.column("grp").to_pylist(), b.column("body").to_pylist()):
+                (occ, recs), terms = _opened(body)
+                long: dict[bytes, bytes] = {}
+                keys = _fast_keys(terms, long)
+                order = np.argsort(keys, kind="stable")
+                found = [*_by_prefix(g, keys[order], occ[order], recs[order], long, size)]
+                for i in range(0, len(found), 500):
+                    yield _sent(found[i : i + 500])
+
+    return run
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Subtrees come sorted by group and prefix. Tries of like size merge first, so that no entry is merged more than some times."""
+    now, waiting, long = None, [], {}
+
+    def take(body: bytes) -> None:
+        (occ, recs), terms = _opened(body)
+        keys = _fast_keys(terms, long)
+        order = np.argsort(keys, kind="stable")
+        n, trie = len(keys), BurstTrie.of(keys[order], occ[order], recs[order])
+        while waiting and waiting[-1][0] <= n:
+            m, other = waiting.pop()
+            trie.merge(other)
+            n += m
+        waiting.append((n, trie))
+
+    def close() -> Iterator[pa.RecordBatch]:
+        while len(waiting) > 1:
+            n, x = waiting.pop()
+            waiting[-1][1].merge(x)
+        if waiting:
+            yield from _emit(now[0], waiting.pop()[1], long)
+        long.clear()
 
+    for b in batches:
+        for g, prefix, body in zip(*(b.column(c).to_pylist() for c in ("grp", "prefix", "body"))):
+            if now is not None and (g, prefix) != now:
+                yield from close()
+            now = (g, prefix)
+            take(body)
+    if now is not None:
+        yield from close()
 
-def _routing(rows: DataFrame, parts: int) -> tuple[list, dict]:
-    """Short prefixes above a worker's share, and long ones under them with the number of salts each needs.
 
-    Both lists hold at most 4 x parts entries, as each entry stands for at least a quarter of a worker's share of the rows."""
-    prefix = lambda n: F.substring("term", 1, n)
-    counts = durable(rows.groupBy("grp", prefix(LONG).alias("p")).agg(F.count(F.lit(1)).alias("n")), "prefixes")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    share = max(1, total // (4 * parts))
-    short = counts.groupBy("grp", F.substring("p", 1, SHORT).alias("s")).agg(F.sum("n").alias("n")).where(F.col("n") > share).select("grp", "s")
-    long = counts.where(F.col("n") > share).select("grp", "p", F.ceil(F.col("n") / share).cast("int").alias("salts"))
-    return [(r.grp, r.s) for r in short.collect()], {(r.grp, r.p): r.salts for r in long.collect()}
+def _emit(group: str | None, trie: BurstTrie, long: dict[bytes, bytes]) -> Iterator[pa.RecordBatch]:
+    for c in trie.leaves():
+        if len(c.terms):
+            terms = [long.get(t[:-1], t[:-1]) for t in c.terms.tolist()]
+            yield pa.record_batch([pa.array([group] * len(terms), pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(c.occ, pa.int64()), pa.array(c.recs, pa.int64())], names=["grp", "term", "occurrences", "records"])
 
 
-def term_counts(rows: DataFrame, term: str, record: str, group: str, position: str | None = None) -> DataFrame:
-    """(grp, term, occurrences, records) for every distinct term of every group. record must be a bigint."""
-    spark = rows.sparkSession
-    parts = shuffle_partitions(spark)
+def _adapted(subtrees: DataFrame, parts: int, size: int) -> DataFrame:
+    """Subtrees whose prefix has more than a quarter of a worker's share of all entries are cut by prefixes twice as long, and so on.
+
+    There are 4 x parts such prefixes at most, which is what is sent to all."""
+    sums = subtrees.groupBy("grp", "prefix").agg(F.sum("n").alias("n"))
+    share = max(1, (sums.agg(F.sum("n")).first()[0] or 0) // (4 * parts))
+    while True:
+        hot = sums.where((F.col("n") > share) & (F.length("prefix") == size)).select(F.col("grp").alias("g"), F.col("prefix").alias("p"))
+        if hot.isEmpty():
+            return subtrees
+        same = F.col("grp").eqNullSafe(F.col("g")) & (F.col("prefix") == F.col("p"))
+        size *= 2
+        longer = subtrees.join(F.broadcast(hot), same, "left_semi").mapInArrow(_burst(size), SUBTREES)
+        subtrees = durable(subtrees.join(F.broadcast(hot), same, "left_anti").unionByName(longer), "subtrees")
+        sums = subtrees.groupBy("grp", "prefix").agg(F.sum("n").alias("n"))
+
+
+def counted(rows: DataFrame, term: str, record: str, group: str, position: str | None = None, chunk: int = CHUNK, full: int = FULL, short: int = SHORT) -> tuple[DataFrame, DataFrame]:
+    """((grp, term, occurrences, records) for every distinct term of every group, (grp, records) of every group). record must be a bigint."""
+    parts = shuffle_partitions(rows.sparkSession)
     pos: Column = F.coalesce(F.col(position).cast("long"), F.lit(-1)) if position else F.lit(-1)
     base = rows.where(F.col(term).isNotNull() & F.col(record).isNotNull()).select(F.col(group).cast("string").alias("grp"), F.col(record).cast("long").alias("record"), pos.cast("long").alias("pos"), F.col(term).alias("term"))
-    burst, salted = _routing(base, parts)
-    tag = lambda p: F.concat(F.coalesce(F.concat(F.lit("="), "grp"), F.lit("-")), F.lit("\x00"), p)
-    name = lambda g, p: ("-" if g is None else "=" + g) + "\x00" + p
-    short, long = tag(F.substring("term", 1, SHORT)), tag(F.substring("term", 1, LONG))
-    route = short
-    if burst:
-        route = F.when(short.isin([name(*x) for x in burst]), long).otherwise(short)
-    if salted:
-        hot = spark.createDataFrame([(name(g, p), n) for (g, p), n in salted.items()], "hot string, salts int")
-        # Broadcast: at most 4 x parts rows, see _routing.
-        base = base.join(F.broadcast(hot), long == F.col("hot"), "left")
-        route = F.when(F.col("hot").isNotNull(), F.concat(long, F.lit("\x00"), F.pmod(F.xxhash64("record"), F.col("salts")).cast("string"))).otherwise(route)
-    routed = base.withColumn("route", F.xxhash64(route)).select("grp", "record", "pos", "term", "route").repartition(parts, "route").drop("route").sortWithinPartitions("grp", "record", "pos", "term")
-    tries = routed.mapInArrow(_counted, "grp string, term string, occurrences long, records long")
-    if not salted:
-        return tries
-    return tries.groupBy("grp", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    bundles = base.mapInArrow(_bundled(FINE * parts, chunk), "grp string, bucket int, body binary").repartition(parts, "bucket").sortWithinPartitions("grp", "bucket")
+    found = durable(bundles.mapInArrow(_counted(full, short), SUBTREES), "subtrees")
+    totals = found.where(F.col("prefix").isNull()).groupBy("grp").agg(F.sum("records").alias("records"))
+    subtrees = _adapted(found.where(F.col("prefix").isNotNull()), parts, short)
+    routed = subtrees.select("grp", "prefix", "body").repartition(parts, "grp", "prefix").sortWithinPartitions("grp", "prefix")
+    return routed.mapInArrow(_merged, "grp string, term string, occurrences long, records long"), totals
+
+
+def term_counts(rows: DataFrame, term: str, record: str, group: str, position: str | None = None) -> DataFrame:
+    """The first of counted()."""
+    return counted(rows, term, record, group, position)[0]

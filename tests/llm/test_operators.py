@@ -166,7 +166,30 @@ def test_trie_bursts():
     assert all(len(c.terms) <= 64 for c in trie.leaves())
 
 
-def test_term_counts(spark):
+def test_tries_of_entries_merge():
+    rng = random.Random(5)
+    want, tries = collections.Counter(), []
+    for _ in range(5):
+        part = {f"{rng.randrange(900)}x".encode(): rng.randrange(1, 9) for _ in range(400)}
+        want.update(part)
+        keys = np.sort(terms._keys([*part], {}))
+        n = np.array([part[k[:-1]] for k in keys.tolist()])
+        tries.append(terms.BurstTrie.of(keys, n, n, 16))
+    for t in tries[1:]:
+        tries[0].merge(t)
+    assert trie_counts(tries[0]) == {k: (n, n) for k, n in want.items()}
+
+
+def test_columns_are_packed():
+    words = [b"", b"\x00a", "日本".encode(), b"x" * 500]
+    numbers, back = terms._opened(terms._packed([np.array([5, -1, 2**62, 0])], pa.array(words, pa.binary())))
+    assert back.to_pylist() == words and numbers[0].tolist() == [5, -1, 2**62, 0]
+    numbers, back = terms._opened(terms._packed([np.empty(0, np.int64)], pa.array([], pa.binary())))
+    assert len(back) == 0 and len(numbers[0]) == 0
+
+
+@pytest.mark.parametrize("chunk,full,short", [(1 << 18, 1 << 21, 4), (97, 50, 1)])
+def test_term_counts(spark, chunk, full, short):
     rng = random.Random(4)
     long = "z" * 500_000
     pool = ["hot"] * 60 + [f"hot{i}" for i in range(40)] + ["", "a", "é", "日本", long, None]
@@ -181,8 +204,10 @@ def test_term_counts(spark):
         once.add((g, r, p, t))
         occ[g, t] += 1
         rec[g, t].add(r)
-    got = {(x.grp, x.term): (x.occurrences, x.records) for x in terms.term_counts(df, "term", "record", "grp", "pos").collect()}
-    assert got == {k: (occ[k], len(rec[k])) for k in occ}
+    counts, totals = terms.counted(df, "term", "record", "grp", "pos", chunk, full, short)
+    found = counts.collect()
+    assert len(found) == len(occ) and {(x.grp, x.term): (x.occurrences, x.records) for x in found} == {k: (occ[k], len(rec[k])) for k in occ}
+    assert {x.grp: x.records for x in totals.collect()} == {g: len(set().union(*(v for (h, _), v in rec.items() if h == g))) for g in ("g", "h", None)}
     assert terms.term_counts(df.limit(0), "term", "record", "grp", "pos").count() == 0
 
 
