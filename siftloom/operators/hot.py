@@ -20,10 +20,10 @@ def hot_keys(counts: DataFrame, key: str, n: str) -> DataFrame:
     return counts.where(F.col(n) > share).select(F.col(key).alias("hot"), F.ceil(F.col(n) / share).cast("int").alias("salts"))
 
 
-def joined(left: DataFrame, right: DataFrame, key: str, spread: list[str], hot: DataFrame) -> DataFrame:
-    """Inner join on key, which right has once at most; hot: from hot_keys(), and so small enough to be sent to all."""
+def joined(left: DataFrame, right: DataFrame, key: str, spread: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """Join (inner or left) on key, which right has once at most; hot: from hot_keys(), and so small enough to be sent to all."""
     table = F.broadcast(hot)
     salt = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("salts")).cast("int"), F.lit(0))
     salted = left.join(table, F.col(key) == F.col("hot"), "left").withColumn("__salt", salt).drop("hot", "salts")
     repeated = right.join(table, F.col(key) == F.col("hot"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0))))).drop("hot", "salts")
-    return salted.join(repeated, [key, "__salt"]).drop("__salt")
+    return salted.join(repeated, [key, "__salt"], how).drop("__salt")

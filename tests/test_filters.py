@@ -326,6 +326,8 @@ def test_hot_keys_are_spread(spark):
     assert {r.hot for r in heavy.collect()} == {"hot"} and heavy.first().salts > 1
     got = sorted((r.k, r.o, r.v) for r in hot.joined(left, right, "k", ["o"], heavy).collect())
     assert got == sorted([("hot", i, 1) for i in range(300)] + [("k3", 3, 2)])
+    kept = hot.joined(left, right, "k", ["o"], heavy, "left").collect()
+    assert len(kept) == 350 and sum(r.v is None for r in kept) == 49
 
 
 def test_pack(spark):
