@@ -106,11 +106,11 @@ def plan(sources: DataFrame, targets: DataFrame, block: int, total: int | None =
     return Plan([r.source for r in rows], share, [r.size for r in rows], blocks, cap, slots, per_shard)
 
 
-def slots(spark, p: Plan, seed: int = 11) -> DataFrame:
-    """(shard, source, pass, block): the draws of all shards, mapped to blocks; slots beyond a cap are left out."""
+def draws(spark, p: Plan, seed: int = 11) -> DataFrame:
+    """(shard, source, n): the multinomial counts of every shard."""
     shape = "shard long, source string, n long"
     if not p.slots:
-        return spark.createDataFrame([], "shard long, source string, pass long, block long")
+        return spark.createDataFrame([], shape)
     names, share, per_shard, whole = p.source, np.array(p.share), p.per_shard, p.slots
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +119,14 @@ def slots(spark, p: Plan, seed: int = 11) -> DataFrame:
             n = np.concatenate([np.random.default_rng([seed, int(i)]).multinomial(min(per_shard, whole - int(i) * per_shard), share) for i in ids]) if len(ids) else np.empty(0, np.int64)
             yield pa.record_batch([pa.array(np.repeat(ids, len(names))), pa.array(names * len(ids), pa.string()), pa.array(n, pa.int64())], names=["shard", "source", "n"])
 
-    drawn = spark.range(p.shards).mapInArrow(draw, shape)
+    return spark.range(p.shards).mapInArrow(draw, shape)
+
+
+def slots(spark, p: Plan, seed: int = 11) -> DataFrame:
+    """(shard, source, pass, block): the draws of all shards, mapped to blocks; slots beyond a cap are left out."""
+    if not p.slots:
+        return spark.createDataFrame([], "shard long, source string, pass long, block long")
+    drawn = draws(spark, p, seed)
     drawn = drawn.withColumn("bucket", F.expr("shard div 4096"))
     sums = drawn.groupBy("source", "bucket").agg(F.sum("n").alias("all"))
     earlier = F.sum("all").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
@@ -146,21 +153,44 @@ def _coprime(n: int, rng: np.random.Generator) -> tuple[int, int]:
     return mul, int(rng.integers(0, n)) if n else 0
 
 
-def selection(documents: DataFrame, targets: DataFrame, block: int = 256, total: int | None = None, per_shard: int = 256, seed: int = 11, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
+def planned(documents: DataFrame, targets: DataFrame, block: int = 256, total: int | None = None, per_shard: int = 256, vocabulary: str = tokens.VOCABULARY) -> tuple[DataFrame, Plan]:
+    """The records placed in the streams of their sources, and the plan."""
+    records = durable(placed(documents, targets, vocabulary), "places")
+    return records, plan(records.groupBy("source").agg(F.sum("n_tokens").alias("size")), targets, block, total, per_shard)
+
+
+def chosen(records: DataFrame, p: Plan, block: int = 256, seed: int = 11) -> DataFrame:
     """(shard, source, pass, block, doc_id, first_token, n_tokens): the pieces of records that fill the slots of each shard.
 
     first_token counts from 0 within the record."""
-    spark = documents.sparkSession
-    records = durable(placed(documents, targets, vocabulary), "places")
-    sizes = records.groupBy("source").agg(F.sum("n_tokens").alias("size"))
-    p = plan(sizes, targets, block, total, per_shard)
     pieces = records.select("source", "doc_id", "n_tokens", "start", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + n_tokens - 1) div {block}"))).alias("block"))
     low, high = F.greatest("start", F.col("block") * block), F.least(F.col("start") + F.col("n_tokens"), (F.col("block") + 1) * block)
     cut = pieces.select(F.col("source").alias("s"), F.col("block").alias("b"), "doc_id", (low - F.col("start")).alias("first_token"), (high - low).alias("n_tokens"))
-    drawn = slots(spark, p, seed)
+    drawn = slots(records.sparkSession, p, seed)
     return drawn.join(cut, (F.col("source") == F.col("s")) & (F.col("block") == F.col("b"))).select("shard", "source", "pass", "block", "doc_id", "first_token", "n_tokens")
 
 
+def selection(documents: DataFrame, targets: DataFrame, block: int = 256, total: int | None = None, per_shard: int = 256, seed: int = 11, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
+    """chosen() of the planned records."""
+    records, p = planned(documents, targets, block, total, per_shard, vocabulary)
+    return chosen(records, p, block, seed)
+
+
+def report(documents: DataFrame, targets: DataFrame, block: int = 256, total: int | None = None, per_shard: int = 256, seed: int = 11, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
+    """shares() with what the plan expects: the target scaled to the sources that take part, the standard deviation of the share that
+    the draws give, the slots drawn, and those left unfilled beyond the cap; all of them 0 for a source that takes no part."""
+    records, p = planned(documents, targets, block, total, per_shard, vocabulary)
+    spark = records.sparkSession
+    shape = "p_source string, scaled_share double, deviation double, cap long"
+    wanted = spark.createDataFrame([(s, x, math.sqrt(x * (1 - x) / p.slots) if p.slots else 0.0, c) for s, x, c in zip(p.source, p.share, p.cap)], shape)
+    drawn = draws(spark, p, seed).groupBy(F.col("source").alias("d_source")).agg(F.sum("n").alias("drawn"))
+    base = shares(chosen(records, p, block, seed), targets)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    out = base.join(wanted, F.col("source") == F.col("p_source"), "left").join(drawn, F.col("source") == F.col("d_source"), "left")
+    unfilled = F.greatest(zero("drawn") - F.coalesce("cap", "drawn", F.lit(0)), F.lit(0))
+    return out.select(*base.columns, zero("scaled_share").alias("scaled_share"), zero("deviation").alias("deviation"), zero("drawn").alias("drawn"), unfilled.alias("unfilled"))
+
+
 def shares(selected: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, max_repeats, tokens, share, repeats) of every target source; repeats: the most passes."""
     per = selected.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), (F.max("pass") + 1).alias("repeats"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftloom.functions import dna
@@ -29,8 +29,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Values with exact counts; the sketch's estimates have their own test."""
-    return _heavy(spark, d).select("field", "value", F.col("count").alias("n"), F.col("total").alias("n_rows"))
+    """Values with exact counts, and whether the sketch's estimate is no smaller, as it must not be."""
+    return _heavy(spark, d).select("field", "value", F.col("count").alias("n"), F.col("total").alias("n_rows"), (F.col("estimate") >= F.col("count")).alias("not_below"))
 
 
 # 2 -- seen before
@@ -245,6 +245,11 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(table(spark, d, "documents"))
 
 
+def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Every text back from its ids."""
+    return tokens.decoded(p7_ids(spark, d))
+
+
 # 8 -- mixing
 
 
@@ -253,7 +258,15 @@ def p8_selection(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.shares(p8_selection(spark, d), table(spark, d, "mix_target"))
+    return mixing.report(table(spark, d, "documents"), table(spark, d, "mix_target"))
+
+
+def p8_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each source keeps to its cap, and the slots drawn for it to its scaled target, six standard deviations allowed."""
+    r = p8_shares(spark, d)
+    slots = F.sum("drawn").over(Window.partitionBy(F.lit(0)))  # one row a source
+    near = F.abs(F.col("drawn") / F.greatest(slots, F.lit(1)) - F.col("scaled_share")) <= 6 * F.col("deviation") + 1e-9
+    return r.select("source", "target_share", "max_repeats", (F.col("max_repeats").isNull() | (F.col("repeats") <= F.col("max_repeats"))).alias("cap_kept"), near.alias("share_kept"))
 
 
 # 9 -- repetition
@@ -272,7 +285,7 @@ def p9_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (p1_found, p1_counts, p2_found, p2_rate, p2_measured, p3_counts, p3_found, p4_found, p4_part, p5_overlaps, p5_found, p6_estimates, p6_found, p6_unions, p7_ids, p8_selection, p8_shares, p9_found, p9_shares, p9_lines)
+    named = (p1_found, p1_counts, p2_found, p2_rate, p2_measured, p3_counts, p3_found, p4_found, p4_part, p5_overlaps, p5_found, p6_estimates, p6_found, p6_unions, p7_ids, p7_decoded, p8_selection, p8_shares, p8_kept, p9_found, p9_shares, p9_lines)
     return {f.__name__: f for f in named}
 
 
@@ -387,7 +400,7 @@ SELECT doc_id, lines, removed, CASE WHEN lines > 0 THEN round(1 - removed / line
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _HEAVY.format("field, value"),
-        "p1_counts": _HEAVY.format("field, value, n, n_rows"),
+        "p1_counts": _HEAVY.format("field, value, n, n_rows, true AS not_below"),
         "p2_found": _SEEN,
         "p2_rate": _RATE,
         "p3_counts": _TERMS + " SELECT * FROM m",
@@ -402,6 +415,8 @@ SELECT seq_id, size, coalesce(shared, 0)::BIGINT AS shared, CASE WHEN size > 0 T
         "p6_found": _SNAPSHOTS,
         "p6_estimates": _ESTIMATES,
         "p6_unions": _UNIONS,
+        "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+        "p8_kept": "SELECT lower(trim(source)) AS source, target_share, max_repeats, true AS cap_kept, true AS share_kept FROM mix_target",
         "p9_lines": _LINES,
         "p9_found": _REPEATED + " SELECT doc_id FROM r WHERE words > 0 AND repeated * 2 >= words",
         "p9_shares": _REPEATED + " SELECT doc_id, words, repeated, CASE WHEN words > 0 THEN round(repeated / words, 6) ELSE 0.0 END AS share FROM r",

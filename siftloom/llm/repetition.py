@@ -22,6 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftloom.operators import hot
+from siftloom.session import durable
+
 
 def _numbered(pairs: np.ndarray) -> np.ndarray:
     return np.unique(pairs, return_inverse=True)[1].astype(np.int64)
@@ -84,13 +87,15 @@ def line_frequency(documents: DataFrame, host: Column, doc_id: str = "doc_id", t
     same host are removed, and a document with less than the part `keep` of its lines left is rejected.
 
     A null host is a host of its own. A host with a third of all rows is no hot group, as lines are counted by (host, line),
-    in two steps, the first of them before the shuffle."""
+    in two steps, the first of them before the shuffle. A line that a third of all documents have is one, when documents ask
+    whether their lines are common; it is spread over salts by document."""
     base = documents.select(F.col(doc_id).cast("long").alias("doc_id"), host.alias("host"), F.col(text).alias("text"))
     lines = base.select("doc_id", "host", F.explode(F.split(F.coalesce("text", F.lit("")), "\\r\\n|\\r|\\n")).alias("line")).select("doc_id", "host", normalised_line(F.col("line")).alias("line")).where(F.col("line") != "")
     hashed = lines.select("doc_id", F.xxhash64(F.coalesce("host", F.lit("\x00")), "line").alias("h"))
     each = hashed.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
-    common = each.groupBy("h").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > limit).select("h", F.lit(True).alias("gone"))
-    marked = each.join(common, "h", "left").groupBy("doc_id").agg(F.sum("n").alias("lines"), F.sum(F.when(F.col("gone"), F.col("n")).otherwise(0)).alias("removed"))
+    common = durable(each.groupBy("h").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > limit), "lines")
+    gone = common.select("h", F.lit(True).alias("gone"))
+    marked = hot.joined(each, gone, "h", ["doc_id"], hot.hot_keys(common, "h", "docs"), "left").groupBy("doc_id").agg(F.sum("n").alias("lines"), F.sum(F.when(F.col("gone"), F.col("n")).otherwise(0)).alias("removed"))
     out = base.select("doc_id").join(marked, "doc_id", "left").select("doc_id", F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("removed", F.lit(0)).alias("removed"))
     left = F.when(F.col("lines") > 0, F.round(1 - F.col("removed") / F.col("lines"), 6)).otherwise(0.0)
     return out.withColumn("share_left", left).withColumn("rejected", (F.col("lines") > 0) & (F.col("share_left") < keep))

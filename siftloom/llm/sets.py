@@ -53,12 +53,15 @@ def deltas(applied: DataFrame) -> DataFrame:
     kinds = applied.where(F.col("old") != F.col("sets")).groupBy("old", "sets").agg(F.count(F.lit(1)).alias("n"))
     kinds = kinds.withColumn("came", F.array_except("sets", "old")).withColumn("went", F.array_except("old", "sets"))
 
-    def pairs(moved: str, among: str, sign: int):
-        # A pair of two sets that both moved is counted from the smaller one.
-        one = lambda j: F.transform(F.filter(F.col(among), lambda m: (m >= j) | ~F.array_contains(F.col(moved), m)), lambda m: F.struct(F.least(j, m).alias("a"), F.greatest(j, m).alias("b"), F.lit(sign).alias("sign")))
-        return F.flatten(F.transform(F.col(moved), one))
-
-    moves = kinds.select("n", F.explode(F.concat(pairs("came", "sets", 1), pairs("went", "old", -1))).alias("p"))
+    def pairs(moved: str, among: str, sign: int) -> DataFrame:
+        # The sets that moved are rows first and the others after, so that no row holds all pairs of an identifier in many sets. A pair of
+        # two sets that both moved is counted from the smaller one.
+        one = kinds.select("n", moved, among, F.explode(moved).alias("j"))
+        other = F.filter(F.col(among), lambda m: (m >= F.col("j")) | ~F.array_contains(F.col(moved), m))
+        two = one.select("n", "j", F.explode(other).alias("m"))
+        return two.select("n", F.struct(F.least("j", "m").alias("a"), F.greatest("j", "m").alias("b"), F.lit(sign).alias("sign")).alias("p"))
+
+    moves = pairs("came", "sets", 1).unionByName(pairs("went", "old", -1))
     return moves.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum(F.col("n") * F.col("p.sign")).alias("delta"))
 
 

@@ -3,7 +3,7 @@
 Method: DuckDB recursive queries per partition. The distinct words of a batch that are not known yet become token-position
 rows; each step of the recursion joins neighbouring tokens with the merge table, takes each word's pair of the lowest rank
 and contracts it, until no word has a pair left; an ordered aggregation gives the ids of each word, and a gather those of
-each text. Short words contract their leftmost pair in a step. Long ones contract every pair of the lowest rank at once,
+each text. A word is a row with its list of ids; each step unfolds the lists into token-position rows. Short words contract their leftmost pair in a step. Long ones contract every pair of the lowest rank at once,
 from the left and without overlap, which is the same order of merges in fewer steps: a pair with a merged token ranks
 after the merge that made the token.
 
@@ -311,6 +311,41 @@ def token_ids(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.mapInArrow(_listed(shipped(documents.sparkSession, vocabulary)), "doc_id long, ids array<int>")
 
 
+DECODE = """
+SELECT w, string_agg(h, '' ORDER BY pos) AS h FROM (
+  SELECT i.w, i.pos, t.h FROM (SELECT w, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM listed) i JOIN tokens t USING (id)) GROUP BY w ORDER BY w
+"""
+
+
+def _decoded(shipped):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import duckdb
+
+        con = duckdb.connect(config={"threads": 1, "temp_directory": ""})
+        token, rank = zip(*shipped.value.tokens)
+        con.register("t", pa.table({"id": pa.array(rank, pa.int32()), "h": pa.array([x.hex() for x in token])}))
+        con.execute("CREATE TABLE tokens AS SELECT * FROM t")
+        for b in batches:
+            sizes = np.cumsum(pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy().astype(np.int64))
+            at = 0
+            while at < b.num_rows:
+                to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PIECE // 4)))
+                con.register("listed", pa.table({"w": np.arange(at, to), "ids": b.column(1)[at:to]}))
+                found = con.sql(DECODE).to_arrow_table()
+                texts = [""] * (to - at)
+                for w, h in zip(found.column("w").to_pylist(), found.column("h").to_pylist()):
+                    texts[w - at] = bytes.fromhex(h).decode("utf-8")
+                yield pa.record_batch([b.column(0)[at:to], pa.array(texts, pa.string())], names=["doc_id", "text"])
+                at = to
+
+    return run
+
+
+def decoded(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, text) back from (doc_id, ids), by an ordered aggregation of the tokens of each row; no ids give an empty text."""
+    return encoded.select("doc_id", "ids").mapInArrow(_decoded(shipped(encoded.sparkSession, vocabulary)), "doc_id long, text string")
+
+
 def decode(ids: list[int], tokens: dict[int, bytes]) -> str:
     """The text back from its ids."""
     return b"".join(tokens[i] for i in ids).decode("utf-8")

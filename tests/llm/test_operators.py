@@ -329,6 +329,9 @@ def test_overlaps_follow_joins_and_leaves(spark):
         members -= {k for k, v in last.items() if v[1] == -1}
         got = {(r.id_a, r.id_b): (r.shared, r.size_a, r.size_b, r.either) for r in sets.overlaps(moved).collect()}
         assert got == brute_pairs(members)
+    many = spark.createDataFrame([("x", i) for i in range(300)] + [("y", 7), ("y", 8)], "item string, s bigint")
+    big = {(r.a, r.b): r.delta for r in sets.deltas(sets.apply(sets.empty_state(spark), sets.changes(many, "item", "s"))).collect()}
+    assert big == {(a, b): 2 if {a, b} <= {7, 8} else 1 for a in range(300) for b in range(a, 300)}
     idle = sets.apply(state, sets.changes(batch.limit(0), "item", "s"))
     assert sets.deltas(idle).count() == 0
 
@@ -503,6 +506,15 @@ def test_ids_of_documents(spark, reference):
     got = sorted(((r.doc_id, r.ids) for r in tokens.token_ids(df).collect()), key=repr)
     assert got == sorted(((d, reference[0].encode_ordinary(t) if t else []) for d, t in rows), key=repr)
     assert tokens.token_ids(df.limit(0)).count() == 0
+    back = sorted(((r.doc_id, r.text) for r in tokens.decoded(tokens.token_ids(df)).collect()), key=repr)
+    assert back == sorted(((d, t or "") for d, t in rows), key=repr)
+
+
+@vocabulary
+def test_decoding_hard_texts(spark):
+    df = spark.createDataFrame([*enumerate(HARD)], "doc_id bigint, text string")
+    assert {r.doc_id: r.text for r in tokens.decoded(tokens.token_ids(df)).collect()} == dict(enumerate(HARD))
+    assert tokens.decoded(spark.createDataFrame([(1, None), (2, [])], "doc_id bigint, ids array<int>")).collect() == [(1, ""), (2, "")]
 
 
 # 8
@@ -540,8 +552,10 @@ def test_mixing(spark):
 def test_mixing_stops_at_the_caps(spark):
     docs = spark.createDataFrame([(1, "one two three four " * 20, "a"), (2, "five six " * 20, "b")], "doc_id bigint, text string, source string")
     goal = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, None)], "source string, target_share double, max_repeats int")
-    report = {r.source: r for r in mixing.shares(mixing.selection(docs, goal, block=8, total=8000), goal).collect()}
+    report = {r.source: r for r in mixing.report(docs, goal, block=8, total=8000).collect()}
     assert report["a"].repeats == 1 and report["b"].repeats > 5 and report["a"].share < 0.1
+    assert report["a"].unfilled > 300 and report["b"].unfilled == 0 and report["a"].drawn + report["b"].drawn == 1000
+    assert report["a"].scaled_share == 0.5 and abs(report["a"].deviation - 0.5 / math.sqrt(1000)) < 1e-9
 
 
 @vocabulary
