@@ -12,7 +12,8 @@ IUPAC_COMPLEMENT = "TACGRYMKVHDB"
 
 def clean(seq: Column) -> Column:
     """Without spaces, tabs, carriage returns and line feeds, in upper case; null stays null."""
-    return F.upper(F.when(seq.rlike("[ \\t\\r\\n]"), F.translate(seq, " \t\r\n", "")).otherwise(seq))
+    blank = seq.contains(" ") | seq.contains("\t") | seq.contains("\r") | seq.contains("\n")
+    return F.upper(F.when(blank, F.translate(seq, " \t\r\n", "")).otherwise(seq))
 
 
 def complement_reversed(seq: Column) -> Column:
@@ -26,8 +27,8 @@ def reverse_complement(seq: Column) -> Column:
 
 
 def is_plain(seq: Column) -> Column:
-    """At least one base, and only A, C, G and T. \\z, as $ would let a line terminator by."""
-    return seq.rlike("\\A[ACGT]+\\z")
+    """At least one base, and only A, C, G and T."""
+    return (F.length(seq) > 0) & ~seq.rlike("[^ACGT]")
 
 
 def strand_free(seq: Column) -> Column:
@@ -35,10 +36,27 @@ def strand_free(seq: Column) -> Column:
     return F.least(seq, complement_reversed(seq))
 
 
+#: First and last letter of sequences that are smaller than their reverse complement whatever stands between.
+SMALLER = ("AA", "AC", "AG", "CA", "CC", "GA")
+
+
+def element(seq: Column) -> Column:
+    """strand_free of a sequence of A, C, G and T only, which turns no sequence round whose ends tell enough."""
+    ends = F.concat(F.substring(seq, 1, 1), F.substring(seq, -1, 1))
+    return F.when(ends.isin(*SMALLER), seq).otherwise(strand_free(seq))
+
+
 def with_element(df, seq: str = "seq", into: str = "element"):
     """Adds the element of a raw sequence column; null where it carries none."""
     c = F.col("__clean")
-    return df.withColumn("__clean", clean(F.col(seq))).withColumn(into, F.when(is_plain(c), strand_free(c))).drop("__clean")
+    return df.withColumn("__clean", clean(F.col(seq))).withColumn(into, F.when(is_plain(c), element(c))).drop("__clean")
+
+
+def elements(df, seq: str = "seq", into: str = "element"):
+    """The rows that carry an element, with it. Rows are told by their raw text, and the element is marked as never null, so that neither
+    this filter nor a later one makes the engine work an element out twice."""
+    carries = F.col(seq).rlike("\\A[ \\t\\r\\n]*[ACGTacgt][ACGTacgt \\t\\r\\n]*\\z")
+    return df.where(carries).withColumn("__clean", clean(F.col(seq))).withColumn(into, F.coalesce(element(F.col("__clean")), F.lit(""))).drop("__clean")
 
 
 def shred(seq: Column, k: int) -> Column:

@@ -24,7 +24,7 @@ def shred(rows: DataFrame, seq: str, k: int, keep: list[str]) -> DataFrame:
 def canonical_kmers(rows: DataFrame, seq: str, k: int, keep: list[str]) -> DataFrame:
     """(keep, pos, element) of the windows of A, C, G and T only, the same for both strands."""
     plain = shred(rows, seq, k, keep).where(dna.is_plain(F.col("kmer")))
-    return plain.select(*keep, "pos", dna.strand_free(F.col("kmer")).alias("element"))
+    return plain.select(*keep, "pos", dna.element(F.col("kmer")).alias("element"))
 
 
 def masked(kmer: str, seed: str):

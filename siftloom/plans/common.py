@@ -25,14 +25,13 @@ def contig_kmers(spark: SparkSession, d: str) -> DataFrame:
 
 def inserted(spark: SparkSession, d: str) -> DataFrame:
     """(seq_id, pos, filter_id, element) of the counting filters' rows that carry an element."""
-    rows = dna.with_element(table(spark, d, "cbf_insert").select("seq_id", "pos", "seq", "filter_id"))
-    return rows.where(F.col("element").isNotNull()).drop("seq")
+    return dna.elements(table(spark, d, "cbf_insert").select("seq_id", "pos", "seq", "filter_id")).drop("seq")
 
 
 def indexed(spark: SparkSession, d: str) -> DataFrame:
     """(seq, pos, elem, id): elements put under a source, as frames of one k-mer."""
-    rows = dna.with_element(table(spark, d, "mi_element").select("elem_id", "id", "seq").where(F.col("id") != 0))
-    frames = rows.where(F.col("element").isNotNull()).select(F.col("elem_id").alias("seq"), F.lit(0).alias("pos"), F.col("element").alias("elem"), "id")
+    rows = dna.elements(table(spark, d, "mi_element").select("elem_id", "id", "seq").where(F.col("id") != 0))
+    frames = rows.select(F.col("elem_id").alias("seq"), F.lit(0).alias("pos"), F.col("element").alias("elem"), "id")
     return frames.dropDuplicates(["seq"])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,13 +29,14 @@ def _size(frames: DataFrame) -> int:
 
 @dataclass
 class _Index:
-    """The frames of an index and its size."""
+    """The frames of an index, written once, and its size."""
 
     frames: DataFrame
     m: int
 
     @classmethod
     def of(cls, frames: DataFrame) -> _Index:
+        frames = durable(frames, "frames")
         return cls(frames, _size(frames))
 
     @property
@@ -208,14 +210,17 @@ def mibf_id_counts_strand(spark: SparkSession, d: str) -> DataFrame:
 class _Reads:
     """The k-mers of all contigs, written once, and the index of those with a source."""
 
-    def __init__(self, spark: SparkSession, d: str):
+    def __init__(self, spark: SparkSession, d: str, family: str = hashing.DEFAULT):
         kmers_ = durable(contig_kmers(spark, d), "kmers")
         self.frames = kmers_.select(F.col("seq_id").alias("read"), "pos", F.col("element").alias("elem"))
         self.index = _Index.of(kmers_.where(F.col("id") != 0).select(F.col("seq_id").alias("seq"), "pos", F.col("element").alias("elem"), "id"))
-        self.slots = durable(self.index.slots(), "index")
+        x = self.index
+        self.family, self.blocks = family, 1 if family.startswith("seeds:") else x.blocks
+        slots = multiindex.saturated(multiindex.reservoir(x.frames, x.m, H, family), x.frames, x.m, H, family) if self.blocks == 1 and family != hashing.DEFAULT else x.slots()
+        self.slots = durable(slots, "index")
 
-    def gathered(self, frames: DataFrame) -> DataFrame:
-        return classify.gathered(frames, self.slots, self.index.m, H, 0, hashing.DEFAULT, self.index.blocks)
+    def gathered(self, frames: DataFrame, max_miss: int = 0) -> DataFrame:
+        return classify.gathered(frames, self.slots, self.index.m, H, max_miss, self.family, self.blocks)
 
     def ordered(self) -> DataFrame:
         return classify.ordered(self.frames)
@@ -225,8 +230,8 @@ class _Reads:
         back = self.frames.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("read"))).where(F.col("pos") * 2 >= F.col("n")).drop("n")
         return classify.interleaved(self.frames, back.withColumn("pos", -F.col("pos")))
 
-    def probabilities(self) -> DataFrame:
-        return multiindex.frame_probabilities(self.slots, self.index.m, H)
+    def probabilities(self, max_miss: int = 0) -> DataFrame:
+        return multiindex.frame_probabilities(self.slots, self.index.m, H, max_miss)
 
 
 def mibf_all_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -282,6 +287,12 @@ def mibf_classify_pair(spark: SparkSession, d: str) -> DataFrame:
     return _rounded_results(classify.classify(r.gathered(r.interleaved()), r.probabilities()))
 
 
+def mibf_classify_seeded(spark: SparkSession, d: str) -> DataFrame:
+    """Against an index of spaced seeds, frames with one miss taken too."""
+    r = _Reads(spark, d, hashing.seeded(SPACED))
+    return _rounded_results(classify.classify(r.gathered(r.ordered(), 1), r.probabilities(1)))
+
+
 def mibf_evaluation(spark: SparkSession, d: str) -> DataFrame:
     r = _Reads(spark, d)
     return classify.evaluation(r.frames, r.gathered(r.ordered()))
@@ -290,7 +301,7 @@ def mibf_evaluation(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = (
     mibf_bv, mibf_bv_collisions, mibf_rank, mibf_first_writer, mibf_reservoir, mibf_saturation, mibf_lookup, mibf_at, mibf_at_rank, mibf_at_rank_strict, mibf_seeded, mibf_id_counts, mibf_id_counts_strand, mibf_stats,
     mibf_check_values, mibf_masks, frame_probs, frame_probs_strand, slot_probs, sat_binomial, mibf_roundtrip, mibf_insert, mibf_insert_strand, mibf_all_counts, mibf_count_dump, mibf_match_signature,
-    mibf_rank_candidates, mibf_count_predicates, mibf_classify, mibf_classify_agreed, mibf_classify_pair, mibf_evaluation,
+    mibf_rank_candidates, mibf_count_predicates, mibf_classify, mibf_classify_agreed, mibf_classify_pair, mibf_classify_seeded, mibf_evaluation,
 )
 
 
@@ -362,30 +373,39 @@ state(pos, id, sat) USING KEY (pos) AS (
 slots AS (SELECT pos, id // 2 AS id, id % 2 = 1 AS strand, sat AS saturated FROM state WHERE pos >= 0)"""
 
 
-def _sql_probs(index: str, least: int) -> str:
-    from math import comb
+def _sql_prob(misses: int) -> str:
+    return " + ".join(f"{math.comb(H, i)} * pow(occ, {i}) * pow(1 - occ, {H - i}) * (1 - pow(1 - freq, {i}))" for i in range(H - misses, H + 1))
 
-    prob = " + ".join(f"{comb(H, i)} * pow(occ, {i}) * pow(1 - occ, {H - i}) * (1 - pow(1 - freq, {i}))" for i in range(H - 1, H + 1))
+
+def _sql_probs(index: str, least: int) -> str:
     return f"""{index}, c AS (SELECT id, count(*) AS n FROM slots GROUP BY id),
 f AS (SELECT id, n / (sum(n) FILTER (id >= {least}) OVER ())::DOUBLE AS freq, sum(n) OVER () / m::DOUBLE AS occ FROM c, shape)
-SELECT id, round(freq, 9) AS freq, round({prob}, 9) AS prob FROM f WHERE id >= {least}"""
+SELECT id, round(freq, 9) AS freq, round({_sql_prob(1)}, 9) AS prob FROM f WHERE id >= {least}"""
 
 
-def _sql_seeded() -> str:
+def _sql_seed_at(of: str) -> str:
+    """Rows of a table with elem, one a seed: (its columns, i, hash, pos)."""
     under = lambda x, seed: " || ".join(f"substr({x}, {j + 1}, 1)" if c == "1" else "'-'" for j, c in enumerate(seed))
     words = "[" + ", ".join(f"least({under('elem', s)}, {under(rev('elem'), s)})" for s in SPACED) + "]"
     hashed_ = "('0x' || substr(md5(i || ':' || w), 1, 15))::BIGINT"
-    at = lambda of: f"SELECT *, {hashed_} AS hash, {hashed_} % m AS pos FROM (SELECT *, unnest({words}) AS w, unnest(range(0, {H})) AS i FROM {of}), shape"
-    return f"""WITH {SQL_INDEXED}, {SQL_INSERTED}, {_sql_shape()},
-hashed AS (SELECT seq, id, elem, hash, pos FROM ({at("(SELECT seq, id, elem FROM frames)")})),
+    return f"SELECT * EXCLUDE (w), {hashed_} AS hash, {hashed_} % m AS pos FROM (SELECT *, unnest({words}) AS w, unnest(range(0, {H})) AS i FROM {of}), shape"
+
+
+def _sql_seed_slots() -> str:
+    return f"""{_sql_shape()},
+hashed AS MATERIALIZED (SELECT seq, id, elem, hash, pos FROM ({_sql_seed_at("(SELECT seq, id, elem FROM frames)")})),
 obs AS (SELECT DISTINCT seq, id, hash, pos FROM hashed),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY seq, id, hash) AS c FROM obs),
 taken AS (SELECT pos, arg_max(id, c) FILTER (xor(hash, id) % c = c - 1) AS id FROM numbered GROUP BY pos),
 lost AS (SELECT h.elem, h.id AS own, bool_or(t.id = h.id) AS kept FROM hashed h JOIN taken t USING (pos) GROUP BY h.elem, h.id),
 marks AS (SELECT DISTINCT h.pos FROM hashed h JOIN lost l ON l.elem = h.elem AND l.own = h.id WHERE NOT l.kept),
-slots AS (SELECT t.*, k.pos IS NOT NULL AS saturated FROM taken t LEFT JOIN marks k USING (pos)),
+slots AS MATERIALIZED (SELECT t.*, k.pos IS NOT NULL AS saturated FROM taken t LEFT JOIN marks k USING (pos))"""
+
+
+def _sql_seeded() -> str:
+    return f"""WITH {SQL_INDEXED}, {SQL_INSERTED}, {_sql_seed_slots()},
 probes AS (SELECT elem FROM frames UNION SELECT substr(element, 1, 3) || translate(substr(element, 4, 1), 'ACGT', 'CATG') || substr(element, 5) FROM inserted),
-found AS (SELECT elem, i, p.pos, id, saturated FROM ({at("probes")}) p LEFT JOIN slots USING (pos)),
+found AS (SELECT elem, i, p.pos, id, saturated FROM ({_sql_seed_at("probes")}) p LEFT JOIN slots USING (pos)),
 missed AS (SELECT elem, count(*) FILTER (id IS NULL) AS misses, bool_and(coalesce(saturated, true)) AS all_saturated FROM found GROUP BY elem)
 SELECT elem, misses, all_saturated, i, coalesce(id, 0) AS id FROM found JOIN missed USING (elem) WHERE misses <= 1"""
 
@@ -395,6 +415,10 @@ looked AS (SELECT elem, i, s.id, saturated FROM (SELECT elem, i, {_sql_at("elem"
 whole AS (SELECT elem FROM looked GROUP BY elem HAVING count(*) = {H}),
 matched AS (SELECT seq_id AS read, k.pos, i, l.id, saturated FROM kmers k JOIN looked l ON l.elem = k.element SEMI JOIN whole w ON w.elem = k.element)"""
 
+#: The reads against an index of spaced seeds, one miss allowed.
+_SEEDED_READS = f"""WITH RECURSIVE {SQL_KMERS}, frames AS MATERIALIZED (SELECT seq_id AS seq, pos, element AS elem, id FROM kmers WHERE id <> 0), {_sql_seed_slots()},
+looked AS (SELECT p.elem, p.i, s.id, saturated FROM ({_sql_seed_at("(SELECT DISTINCT element AS elem FROM kmers)")}) p JOIN slots s USING (pos)),
+whole AS (SELECT elem FROM looked GROUP BY elem HAVING count(*) >= {H - 1})"""
 _SINGLE = "ord_frames AS (SELECT seq_id AS read, element AS elem, row_number() OVER (PARTITION BY seq_id ORDER BY pos) - 1 AS ord FROM kmers)"
 _PAIRED = """mates AS (SELECT seq_id AS read, element AS elem, 0 AS mate, pos FROM kmers
   UNION ALL SELECT seq_id, element, 1, -pos FROM (SELECT *, count(*) OVER (PARTITION BY seq_id) AS n FROM kmers) WHERE pos * 2 >= n),
@@ -403,7 +427,7 @@ ord_frames AS (SELECT read, elem, row_number() OVER (PARTITION BY read ORDER BY
 _EQUAL = "(greatest({0}, {1}) - sqrt(greatest({0}, {1})) <= least({0}, {1}) + sqrt(least({0}, {1})))"
 
 
-def _sql_classified(frames: str, o: classify.Options) -> str:
+def _sql_classified(frames: str, o: classify.Options, reads: str | None = None, misses: int = 0) -> str:
     """The classifier step by step: a turn takes the next frame of every read that is not settled yet. tally keeps a row of counters
     a read and id; at id -1 the best counters of the read, and at read -1 the number of the turn. Counters are c1 count, c2 nonSatCount,
     c3 totalCount, c4 totalNonSatCount, c5 nonSatFrameCount, c6 solidCount."""
@@ -414,7 +438,7 @@ def _sql_classified(frames: str, o: classify.Options) -> str:
     order = "c5 DESC, c1 DESC, c6 DESC, c2 DESC, c4 DESC, c3 DESC, id"
     tied = " AND ".join(f"top.{c} - sqrt(top.{c}) * {o.extra} <= {c} + sqrt({c}) * {o.extra}" for c in six)
     worse = " OR ".join(f"best[1].{c} < best[2].{c}" for c in six)
-    return f"""{_READS}, {frames},
+    return f"""{reads or _READS}, {frames},
 per_elem AS (SELECT elem, list(struct_pack(i := i, id := id, sat := saturated) ORDER BY i) AS hits FROM looked SEMI JOIN whole USING (elem) GROUP BY elem),
 got AS (SELECT read, ord, hits, row_number() OVER (PARTITION BY read ORDER BY ord) AS turn FROM ord_frames JOIN per_elem USING (elem)),
 rounds AS MATERIALIZED (SELECT turn, list(struct_pack(read := read, ord := ord, hits := hits)) AS xs FROM got GROUP BY turn),
@@ -427,9 +451,9 @@ tally(read, id, c1, c2, c3, c4, c5, c6, cand, second, extra, stopped, satf, slot
    live AS (SELECT f.*, {", ".join(f"r.{c} AS b{c}" for c in six)}, r.second, r.extra, r.satf, r.slots_seen, coalesce(r.cand, false) AS any_yet
      FROM f LEFT JOIN recurring.tally r ON r.read = f.read AND r.id = -1 WHERE r.stopped IS NULL),
    h AS (SELECT read, unnest(hits) AS y FROM live),
-   g AS (SELECT read, y.id AS id, count(*) AS total, count(*) FILTER (NOT y.sat) AS unsat, min(y.i) FILTER (NOT y.sat) AS fu, min(y.i) FILTER (y.sat) AS fs, bool_or(bool_or(y.sat)) OVER (PARTITION BY read) AS dirty FROM h GROUP BY read, y.id),
+   g AS (SELECT read, y.id AS id, count(*) AS total, count(*) FILTER (NOT y.sat) AS unsat, min(y.i) FILTER (NOT y.sat) AS fu, min(y.i) FILTER (y.sat) AS fs, bool_or(bool_or(y.sat)) OVER (PARTITION BY read) AS dirty, (sum(count(*)) OVER (PARTITION BY read)) AS hit FROM h GROUP BY read, y.id),
    n AS (SELECT g.read, g.id, coalesce(c1, 0) + (fu IS NOT NULL)::INT + (fs IS NOT NULL AND (fu IS NULL OR fs < fu))::INT AS c1, coalesce(c2, 0) + (fu IS NOT NULL)::INT AS c2, coalesce(c3, 0) + total AS c3,
-     coalesce(c4, 0) + unsat AS c4, coalesce(c5, 0) + (NOT dirty)::INT AS c5, coalesce(c6, 0) + (NOT dirty)::INT AS c6, coalesce(r.cand, false) AS cand, coalesce(fu, fs) AS place, dirty
+     coalesce(c4, 0) + unsat AS c4, coalesce(c5, 0) + (NOT dirty)::INT AS c5, coalesce(c6, 0) + (NOT dirty AND hit = {H})::INT AS c6, coalesce(r.cand, false) AS cand, coalesce(fu, fs) AS place, dirty
      FROM g LEFT JOIN recurring.tally r ON r.read = g.read AND r.id = g.id),
    e AS (SELECT live.read, any_value(ord) AS ord, bool_or(dirty) AS dirty, any_value(len(hits)) AS seen, coalesce(any_value(extra), 0) AS extra, coalesce(any_value(satf), 0) AS satf, coalesce(any_value(slots_seen), 0) AS slots_seen,
      list_reduce(list(struct_pack(id := n.id, least := ({least.replace('id', 'n.id') if o.min_counts else least})::BIGINT, {", ".join(f"{c} := n.{c}" for c in six)}) ORDER BY place),
@@ -446,7 +470,7 @@ topped AS (SELECT *, first(struct_pack({", ".join(f"{c} := {c}" for c in six)}))
 kept AS (SELECT * FROM topped WHERE {tied}),
 agreed AS (SELECT read, list(struct_pack({", ".join(f"{c} := {c}" for c in six)}) ORDER BY {order}) AS best FROM kept GROUP BY read),
 c AS (SELECT id, count(*) AS n FROM slots GROUP BY id),
-probs AS (SELECT id, pow(sum(n) OVER () / m::DOUBLE, {H}) * (1 - pow(1 - n / (sum(n) OVER ())::DOUBLE, {H})) AS prob FROM c, shape),
+probs AS (SELECT id, {_sql_prob(misses)} AS prob FROM (SELECT id, sum(n) OVER () / m::DOUBLE AS occ, n / (sum(n) OVER ())::DOUBLE AS freq FROM c, shape)),
 results AS (SELECT read, id, c1::INT AS "count", c2::INT AS nonSatCount, c3::INT AS totalCount, c4::INT AS totalNonSatCount, c5::INT AS nonSatFrameCount, c6::INT AS solidCount, round(coalesce(prob, 0), 9) AS frameProb
   FROM kept JOIN agreed USING (read) LEFT JOIN probs USING (id) WHERE {f"NOT (len(best) > 1 AND ({worse}))" if o.best_agrees else "true"})"""
 
@@ -491,6 +515,7 @@ SELECT id, round(CASE WHEN s = 0 THEN 0.0 ELSE list_sum(list_transform(range(0,
     "mibf_classify": _sql_classified(_SINGLE, classify.Options()) + " SELECT * FROM results",
     "mibf_classify_agreed": _sql_classified(_SINGLE, AGREED) + " SELECT * FROM results",
     "mibf_classify_pair": _sql_classified(_PAIRED, classify.Options()) + " SELECT * FROM results",
+    "mibf_classify_seeded": _sql_classified(_SINGLE, classify.Options(), _SEEDED_READS, 1) + " SELECT * FROM results",
     "mibf_evaluation": _sql_classified(_SINGLE, classify.Options())
     + """ SELECT f.read, coalesce(satf, 0) AS sat_frames, coalesce(slots_seen, 0) + coalesce(stopped, n) AS evaluated
 FROM (SELECT read, count(*) AS n FROM ord_frames GROUP BY read) f LEFT JOIN tally t ON t.read = f.read AND t.id = -1""",

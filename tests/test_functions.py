@@ -125,9 +125,21 @@ def test_sequences(spark):
     df = dna.with_element(spark.createDataFrame(rows, "seq string"), into="e")
     assert [r.e for r in df.collect()] == [None, None, None, None, "ACG"]
     assert df.select(dna.clean(F.col("seq"))).first()[0] == "ACGTN"
+    more = [("t g\ta\r",), (" \n",), ("ACGT",), ("a\x0bc",), ("tt",), ("aſc",), ("A\n",)]
+    both = spark.createDataFrame(rows + more, "seq string").select("seq", F.lit(1).alias("__x"))
+    kept = dna.elements(both)
+    assert sorted((r.seq, r.element) for r in kept.collect()) == sorted((r.seq, r.element) for r in dna.with_element(both).where("element is not null").collect())
+    assert {r.element for r in kept.collect()} == {"ACG", "TCA", "ACGT", "AA", "A"}
     assert one(spark, dna.reverse_complement(F.lit("ATGCYRKMBDHV")))[0] == "BDHVKMYRGCAT"
 
 
+def test_ends_tell_the_smaller_strand(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("ACGT") for _ in range(rng.randrange(1, 9))) for _ in range(3000)] + ["A", "C", "G", "T"]
+    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", dna.element(F.col("w")).alias("e"))
+    assert all(r.e == min(r.w, r.w.translate(str.maketrans("ACGT", "TGCA"))[::-1]) for r in df.collect())
+
+
 def test_shred_whole_sequences(spark):
     rng = random.Random(5)
     long = "".join(rng.choice("ACGTN") for _ in range(3 * kmers.CHUNK + 17))
