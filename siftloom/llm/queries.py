@@ -19,7 +19,7 @@ ERROR = 0.005
 
 def _heavy(spark: SparkSession, d: str) -> DataFrame:
     counts = table(spark, d, "query_result").select(F.col("count").cast("string").alias("value"))
-    elements = dna.with_element(table(spark, d, "cbf_insert").select("seq"), into="value").select("value")
+    elements = dna.elements(table(spark, d, "cbf_insert").select("seq"), into="value").select("value")
     both = [heavy.heavy_hitters(rows, "value", SUPPORT).select(F.lit(field).alias("field"), "value", "estimate", "count", "total") for field, rows in (("count", counts), ("seq", elements))]
     return both[0].unionByName(both[1])
 
@@ -82,7 +82,7 @@ def p2_measured(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     """(filter_id, seq, occurrences, reads, rare, common): a filter without a threshold calls nothing rare."""
-    rows = dna.with_element(table(spark, d, "cbf_insert").select("seq_id", "pos", "seq", "filter_id"))
+    rows = dna.elements(table(spark, d, "cbf_insert").select("seq_id", "pos", "seq", "filter_id"))
     counts, totals = terms.counted(rows, "element", "seq_id", "filter_id", "pos")
     reads = totals.select(F.col("grp").alias("f"), F.col("records").alias("all_reads"))
     limits = table(spark, d, "counting_filter").groupBy(F.col("filter_id").alias("c")).agg(F.max("threshold").alias("threshold"))
@@ -127,7 +127,7 @@ def p5_overlaps(spark: SparkSession, d: str) -> DataFrame:
     late = F.col("loaded_at") >= middle
     state, moved = sets.empty_state(spark), []
     for load in (rows.where(~late | F.col("loaded_at").isNull()), rows.where(late)):
-        applied = durable(sets.apply(state, sets.changes(dna.with_element(load), "element", "id")), "members")
+        applied = durable(sets.apply(state, sets.changes(dna.elements(load), "element", "id")), "members")
         moved.append(sets.deltas(applied))
         state = sets.new_state(applied)
     return sets.overlaps(moved[0].unionByName(moved[1]))
@@ -142,7 +142,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _placed(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "mi_element").select("id", "filter_id", "seq", F.col("inserted_at").cast("timestamp").alias("inserted_at")).where(F.col("filter_id").isNotNull() & F.col("inserted_at").isNotNull())
-    return dna.with_element(rows).where(F.col("element").isNotNull()).select("id", "filter_id", "inserted_at", "element")
+    return dna.elements(rows).select("id", "filter_id", "inserted_at", "element")
 
 
 def _snapshots(spark: SparkSession, d: str) -> DataFrame:
@@ -228,7 +228,7 @@ def p6_unions(spark: SparkSession, d: str) -> DataFrame:
     of one size, by the number of all rows, are built once and merged."""
     base = table(spark, d, "mi_element")
     m = distinct.bits_for(base.count(), ERROR)  # the number of rows, from the footers, bounds any union
-    rows = dna.with_element(base.select("id", "seq").where(F.col("id") != 0)).withColumn("m", F.lit(m).cast("bigint"))
+    rows = dna.elements(base.select("id", "seq").where(F.col("id") != 0)).withColumn("m", F.lit(m).cast("bigint"))
     per = distinct.words(rows, ["id"], "element", "m")
     pair = per.withColumn("first", F.explode(F.array(F.col("id") - 1, F.col("id"))))
     ids = per.select("id").distinct()
