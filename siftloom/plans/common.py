@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from siftloom.functions import dna
 from siftloom.operators import kmers
-from siftloom.session import table
+from siftloom.session import shuffle_partitions, table
 
 K = 31
 
 
 def contigs(spark: SparkSession, d: str) -> DataFrame:
-    """(seq_id, id, filter_id, seq): cleaned records, each once; a missing source is 0."""
+    """(seq_id, id, filter_id, seq): cleaned records, each once; a missing source is 0. Spread by a number of partitions that the engine does
+    not join up again, as k-mers are many times their text."""
     rows = table(spark, d, "contig").select("seq_id", F.coalesce("id", F.lit(0)).alias("id"), "filter_id", dna.clean(F.col("seq")).alias("seq"))
-    return rows.dropDuplicates(["seq_id"])
+    return rows.repartition(shuffle_partitions(spark), "seq_id").dropDuplicates(["seq_id"])
 
 
 def contig_kmers(spark: SparkSession, d: str) -> DataFrame:
