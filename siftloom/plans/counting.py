@@ -17,8 +17,8 @@ from siftloom.sources import filterfile
 
 #: Where a header names no number of hashes.
 DEFAULT_H = 4
-#: Size of the filter that is built from its bytes; no multiple of 8.
-BYTES = 100_001
+#: Bytes an element of the filter that is built from its bytes, which has one byte more.
+BYTES = 24
 
 
 def _headers(spark: SparkSession, d: str) -> DataFrame:
@@ -77,9 +77,10 @@ def cbf_insert_and_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cbf_of_bytes(spark: SparkSession, d: str) -> DataFrame:
-    """Elements asked of a filter of 100,001 bytes and 16-bit counters over all rows, whatever their filter."""
+    """Elements asked of a filter of so many bytes, no multiple of 8, and 16-bit counters over all rows, whatever their filter."""
     rows = inserted(spark, d)
-    f = CountingFilter.of_bytes(rows, "element", BYTES, DEFAULT_H, 31, threshold=2, bits=16)
+    size = rows.agg(F.countDistinct("element")).first()[0] * BYTES + 1
+    f = CountingFilter.of_bytes(rows, "element", size, DEFAULT_H, 31, threshold=2, bits=16)
     return f.min_count(rows, "element").select("element", "min_count", (F.col("min_count") >= f.threshold).alias("hit"), F.lit(f.shape.m).cast("bigint").alias("m"))
 
 
@@ -130,9 +131,10 @@ SELECT filter_id, slot - base AS pos, cnt FROM state JOIN names ON slot // 10000
     "cbf_insert_and_check": _FOLDED + """ SELECT filter_id, element, n, greatest(0, n - CASE WHEN threshold <= top THEN greatest(0, threshold - cnt) ELSE n END)::BIGINT AS n_present
 FROM ordered JOIN state ON slot = -1 - eid""",
     "cbf_of_bytes": f"""WITH {SQL_INSERTED}, tallied AS (SELECT element, count(*) AS n FROM inserted GROUP BY element),
-placed AS (SELECT element, n, {sql_hash("element", "i")} % {(BYTES + 7) // 8 * 8 // 2} AS pos FROM tallied, (SELECT unnest(range(0, {DEFAULT_H})) AS i)),
+size AS (SELECT ((count(*) * {BYTES} + 1 + 7) // 8 * 8) // 2 AS m FROM tallied),
+placed AS (SELECT element, n, m, {sql_hash("element", "i")} % m AS pos FROM tallied, (SELECT unnest(range(0, {DEFAULT_H})) AS i), size),
 counters AS (SELECT pos, least(sum(n), 65535)::BIGINT AS cnt FROM placed GROUP BY pos)
-SELECT element, min(cnt) AS min_count, min(cnt) >= 2 AS hit, {(BYTES + 7) // 8 * 8 // 2}::BIGINT AS m FROM placed JOIN counters USING (pos) GROUP BY element""",
+SELECT element, min(cnt) AS min_count, min(cnt) >= 2 AS hit, any_value(m)::BIGINT AS m FROM placed JOIN counters USING (pos) GROUP BY element""",
     "cbf_increment_all": _BASE + " SELECT * FROM counters",
     "cbf_counters": _BASE + " SELECT filter_id, element, i, pos, cnt FROM placed JOIN counters USING (filter_id, pos)",
     "cbf_min_count": _BASE + " SELECT filter_id, element, min_count FROM mins",

@@ -161,7 +161,7 @@ def frame_probs_strand(spark: SparkSession, d: str) -> DataFrame:
 def slot_probs(spark: SparkSession, d: str) -> DataFrame:
     """Per id the probability that one random slot matches it."""
     x = _indexed(spark, d)
-    counts = multiindex.id_counts(x.slots()).crossJoin(F.broadcast(multiindex.id_counts(x.slots()).agg(F.sum("n").alias("pop"))))
+    counts = multiindex.id_counts(x.slots()).withColumn("pop", F.sum("n").over(Window.partitionBy(F.lit(0))))  # one row an id
     return counts.select("id", F.round(sizing.slot_probability(F.col("pop") / F.lit(float(x.m)), F.col("n") / F.col("pop")), 9).alias("prob"))
 
 
