@@ -123,6 +123,35 @@ def _equal(a: int, b: int) -> bool:
     return high - math.sqrt(high) <= low + math.sqrt(low)
 
 
+@dataclass
+class Frame:
+    """What a frame adds to the counters of its ids, and the ids that may become candidates, in the order in which it has them."""
+
+    adds: list[tuple[int, list[int]]]
+    asked: list[int]
+    saturated: bool
+    slots: int
+
+    @classmethod
+    def of(cls, misses: int, hits: list[tuple[int, bool]]) -> Frame:
+        adds: dict[int, list[int]] = {}
+        seen: dict[tuple[int, bool], None] = {}
+        for id_, sat in hits:
+            c = adds.setdefault(id_, [0] * 6)
+            c[2] += 1
+            c[3] += not sat
+            if (id_, sat) not in seen:
+                c[1] += not sat
+                c[0] += not sat or (id_, False) not in seen
+                seen[id_, sat] = None
+        saturated = any(sat for _, sat in seen)
+        if not saturated:
+            for c in adds.values():
+                c[4] += 1
+                c[5] += misses == 0
+        return cls([*adds.items()], [i for i, sat in seen if not (sat and (i, False) in seen)], saturated, len(hits))
+
+
 class _Read:
     """The running counts of one read. Counters of an id: see COUNTERS."""
 
@@ -135,35 +164,33 @@ class _Read:
 
     def frame(self, misses: int, hits: list[tuple[int, bool]]) -> bool:
         """Takes a frame; true when the read is settled and its other frames need not be looked at."""
-        seen: dict[tuple[int, bool], None] = {}
-        self.slots += len(hits)
-        for id_, sat in hits:
-            c = self.counts.setdefault(id_, [0] * 6)
-            c[2] += 1
-            c[3] += not sat
-            if (id_, sat) not in seen:
-                c[1] += not sat
-                c[0] += not sat or (id_, False) not in seen
-                seen[id_, sat] = None
-        if not any(sat for _, sat in seen):
-            for id_, _ in seen:
-                self.counts[id_][4] += 1
-                self.counts[id_][5] += misses == 0
-        else:
-            self.sat_frames += 1
-        for id_, sat in seen:
-            if sat and (id_, False) in seen:
-                continue
+        return self.take(Frame.of(misses, hits))
+
+    def take(self, frame: Frame) -> bool:
+        self.slots += frame.slots
+        self.sat_frames += frame.saturated
+        for id_, add in frame.adds:
+            c = self.counts.get(id_)
+            if c is None:
+                self.counts[id_] = [*add]
+            else:
+                for j, x in enumerate(add):
+                    if x:
+                        c[j] += x
+        best = self.best
+        for id_ in frame.asked:
             c = self.counts[id_]
-            if c[0] >= self.o.least(id_) or (self.candidates and c[0] >= self.best[0]):
+            if c[0] >= self.o.least(id_) or (self.candidates and c[0] >= best[0]):
                 self.candidates[id_] = None
-                if c[4] <= self.best[4]:
+                if c[4] <= best[4]:
                     # The frame count of a best that is overtaken does not become the second.
                     self.second = max(self.second, c[4])
-                self.best = [max(x, y) for x, y in zip(self.best, c)]
-        if _equal(self.best[3], self.second):
+                for j, x in enumerate(c):
+                    if x > best[j]:
+                        best[j] = x
+        if _equal(best[3], self.second):
             self.extra = 0
-        if self.best[4] > self.second:
+        if best[4] > self.second:
             self.extra += 1
             return self.extra > self.o.extra_frames + 1
         return False
@@ -233,7 +260,12 @@ def folded(got: DataFrame, options: Options | None = None) -> DataFrame:
 
 def classify(got: DataFrame, probabilities: DataFrame, options: Options | None = None) -> DataFrame:
     """RESULT rows: the best id of each read with those statistically tied to it; none for a read without candidates."""
-    found = folded(got, options).where(F.col("id").isNotNull())
+    return with_probabilities(folded(got, options), probabilities)
+
+
+def with_probabilities(found: DataFrame, probabilities: DataFrame) -> DataFrame:
+    """RESULT rows of those of folded()."""
+    found = found.where(F.col("id").isNotNull())
     probs = probabilities.select(F.col("id").alias("__id"), F.col("prob").alias("frameProb"))
     return found.join(probs, F.col("id") == F.col("__id"), "left").withColumn("frameProb", F.coalesce("frameProb", F.lit(0.0))).select(*RESULT)
 

@@ -160,10 +160,10 @@ def unpack(raw: Column, bits: int = 32) -> tuple[Column, Column, Column]:
 
 def frame_probabilities(slots: DataFrame, m: int, h: int, misses: int = 0, with_zero: bool = False) -> DataFrame:
     """(id, freq, prob): per id the probability of a random match, from its share of the slots and the occupancy. Shares are
-    of all ids from 1, or from 0 too (with_zero, the form with strands)."""
+    of all ids from 1, or from 0 too (with_zero, the form with strands). Slots may be counted already: (id, n), an id any number of times."""
     from siftloom.functions import sizing
 
-    counts = slots.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    counts = slots.groupBy("id").agg((F.sum("n") if "n" in slots.columns else F.count(F.lit(1))).alias("n"))
     counted = F.sum(F.when((F.col("id") >= 1) | F.lit(with_zero), F.col("n"))).over(Window.partitionBy(F.lit(0)))  # one row an id
     pop = F.sum("n").over(Window.partitionBy(F.lit(0)))
     shares = counts.withColumns({"freq": F.col("n") / counted.cast("double"), "occ": pop / F.lit(float(m))}).where(F.col("id") >= (0 if with_zero else 1))

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftloom.functions import dna, hashing, sizing
-from siftloom.operators import blocks, classify, multiindex
-from siftloom.plans.common import CLEAN, K, SQL_INDEXED, SQL_INSERTED, SQL_KMERS, contig_kmers, indexed, inserted, rev, sql_block, sql_hash, sql_size_from_occupancy
+from siftloom.operators import blocks, classify, multiindex, reads
+from siftloom.plans.common import CLEAN, K, SQL_INDEXED, SQL_INSERTED, SQL_KMERS, contig_kmers, contigs, indexed, inserted, rev, sql_block, sql_hash, sql_size_from_occupancy
 from siftloom.plans.membership import _path
 from siftloom.session import durable, table
 from siftloom.sources import filterfile
@@ -234,6 +234,16 @@ class _Reads:
         return multiindex.frame_probabilities(self.slots, self.index.m, H, max_miss)
 
 
+def _packed(spark: SparkSession, d: str, family: str = hashing.DEFAULT) -> reads.Index:
+    """The index of the contigs with a source, asked for the k-mers of all, none of which becomes a row."""
+    size = lambda counts: counts.agg(sizing.size_from_occupancy(F.coalesce(F.sum("n"), F.lit(0)), F.lit(H), OCCUPANCY)).first()[0]
+    return reads.Index(contigs(spark, d), K, H, size, family)
+
+
+def _classified(index: reads.Index, found: DataFrame, max_miss: int = 0) -> DataFrame:
+    return _rounded_results(classify.with_probabilities(found, multiindex.frame_probabilities(index.slots(), index.shape.m, H, max_miss)))
+
+
 def mibf_all_counts(spark: SparkSession, d: str) -> DataFrame:
     r = _Reads(spark, d)
     return classify.all_counts(r.gathered(r.frames)).where("totalCount > 0")
@@ -272,8 +282,8 @@ def _rounded_results(found: DataFrame) -> DataFrame:
 
 
 def mibf_classify(spark: SparkSession, d: str) -> DataFrame:
-    r = _Reads(spark, d)
-    return _rounded_results(classify.classify(r.gathered(r.ordered()), r.probabilities()))
+    x = _packed(spark, d)
+    return _classified(x, reads.folded(x))
 
 
 def mibf_classify_agreed(spark: SparkSession, d: str) -> DataFrame:
