@@ -299,8 +299,8 @@ def mibf_classify_pair(spark: SparkSession, d: str) -> DataFrame:
 
 def mibf_classify_seeded(spark: SparkSession, d: str) -> DataFrame:
     """Against an index of spaced seeds, frames with one miss taken too."""
-    r = _Reads(spark, d, hashing.seeded(SPACED))
-    return _rounded_results(classify.classify(r.gathered(r.ordered(), 1), r.probabilities(1)))
+    x = _packed(spark, d, hashing.seeded(SPACED))
+    return _classified(x, reads.folded(x, max_miss=1), 1)
 
 
 def mibf_evaluation(spark: SparkSession, d: str) -> DataFrame:

@@ -13,7 +13,7 @@ from siftloom.operators import reads
 from siftloom.plans import multi
 from siftloom.session import mounted_dir
 
-QUERIES = ["mibf_classify"]
+QUERIES = ["mibf_classify", "mibf_classify_seeded"]
 OPPOSITE = str.maketrans("ACGT", "TGCA")
 
 
