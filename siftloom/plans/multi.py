@@ -245,8 +245,7 @@ def _classified(index: reads.Index, found: DataFrame, max_miss: int = 0) -> Data
 
 
 def mibf_all_counts(spark: SparkSession, d: str) -> DataFrame:
-    r = _Reads(spark, d)
-    return classify.all_counts(r.gathered(r.frames)).where("totalCount > 0")
+    return reads.all_counts(_packed(spark, d)).where("totalCount > 0")
 
 
 def mibf_count_dump(spark: SparkSession, d: str) -> DataFrame:
