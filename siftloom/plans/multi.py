@@ -287,8 +287,8 @@ def mibf_classify(spark: SparkSession, d: str) -> DataFrame:
 
 def mibf_classify_agreed(spark: SparkSession, d: str) -> DataFrame:
     """With the check that the best two agree, a least count of an id of its own, and no early stop."""
-    r = _Reads(spark, d)
-    return _rounded_results(classify.classify(r.gathered(r.ordered()), r.probabilities(), AGREED))
+    x = _packed(spark, d)
+    return _classified(x, reads.folded(x, AGREED))
 
 
 def mibf_classify_pair(spark: SparkSession, d: str) -> DataFrame:
