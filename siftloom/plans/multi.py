@@ -292,8 +292,9 @@ def mibf_classify_agreed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mibf_classify_pair(spark: SparkSession, d: str) -> DataFrame:
-    r = _Reads(spark, d)
-    return _rounded_results(classify.classify(r.gathered(r.interleaved()), r.probabilities()))
+    """Each contig as a pair of mates: its frames from the front, and those from the back, which are half as many."""
+    x = _packed(spark, d)
+    return _classified(x, reads.folded(x, paired=True))
 
 
 def mibf_classify_seeded(spark: SparkSession, d: str) -> DataFrame:
