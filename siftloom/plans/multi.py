@@ -304,8 +304,7 @@ def mibf_classify_seeded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mibf_evaluation(spark: SparkSession, d: str) -> DataFrame:
-    r = _Reads(spark, d)
-    return classify.evaluation(r.frames, r.gathered(r.ordered()))
+    return reads.evaluation(_packed(spark, d))
 
 
 QUERIES = (
