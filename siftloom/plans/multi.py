@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftloom.functions import dna, hashing, sizing
 from siftloom.operators import blocks, classify, multiindex, reads
-from siftloom.plans.common import CLEAN, K, SQL_INDEXED, SQL_INSERTED, SQL_KMERS, contig_kmers, contigs, indexed, inserted, rev, sql_block, sql_hash, sql_size_from_occupancy
+from siftloom.plans.common import CLEAN, K, SQL_INDEXED, SQL_INSERTED, SQL_KMERS, contigs, indexed, inserted, rev, sql_block, sql_hash, sql_size_from_occupancy
 from siftloom.plans.membership import _path
 from siftloom.session import durable, table
 from siftloom.sources import filterfile
@@ -207,33 +207,6 @@ def mibf_id_counts_strand(spark: SparkSession, d: str) -> DataFrame:
 # Classification: contigs with a source make the index, all contigs are reads.
 
 
-class _Reads:
-    """The k-mers of all contigs, written once, and the index of those with a source."""
-
-    def __init__(self, spark: SparkSession, d: str, family: str = hashing.DEFAULT):
-        kmers_ = durable(contig_kmers(spark, d), "kmers")
-        self.frames = kmers_.select(F.col("seq_id").alias("read"), "pos", F.col("element").alias("elem"))
-        self.index = _Index.of(kmers_.where(F.col("id") != 0).select(F.col("seq_id").alias("seq"), "pos", F.col("element").alias("elem"), "id"))
-        x = self.index
-        self.family, self.blocks = family, 1 if family.startswith("seeds:") else x.blocks
-        slots = multiindex.saturated(multiindex.reservoir(x.frames, x.m, H, family), x.frames, x.m, H, family) if self.blocks == 1 and family != hashing.DEFAULT else x.slots()
-        self.slots = durable(slots, "index")
-
-    def gathered(self, frames: DataFrame, max_miss: int = 0) -> DataFrame:
-        return classify.gathered(frames, self.slots, self.index.m, H, max_miss, self.family, self.blocks)
-
-    def ordered(self) -> DataFrame:
-        return classify.ordered(self.frames)
-
-    def interleaved(self) -> DataFrame:
-        """Each contig as a pair of mates: its frames from the front, and those from the back, which are half as many."""
-        back = self.frames.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("read"))).where(F.col("pos") * 2 >= F.col("n")).drop("n")
-        return classify.interleaved(self.frames, back.withColumn("pos", -F.col("pos")))
-
-    def probabilities(self, max_miss: int = 0) -> DataFrame:
-        return multiindex.frame_probabilities(self.slots, self.index.m, H, max_miss)
-
-
 def _packed(spark: SparkSession, d: str, family: str = hashing.DEFAULT) -> reads.Index:
     """The index of the contigs with a source, asked for the k-mers of all, none of which becomes a row."""
     size = lambda counts: counts.agg(sizing.size_from_occupancy(F.coalesce(F.sum("n"), F.lit(0)), F.lit(H), OCCUPANCY)).first()[0]
@@ -256,8 +229,7 @@ def mibf_count_dump(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mibf_match_signature(spark: SparkSession, d: str) -> DataFrame:
-    r = _Reads(spark, d)
-    return classify.signature(r.gathered(r.frames))
+    return reads.signature(_packed(spark, d))
 
 
 def mibf_rank_candidates(spark: SparkSession, d: str) -> DataFrame:

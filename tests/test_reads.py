@@ -13,7 +13,7 @@ from siftloom.operators import reads
 from siftloom.plans import multi
 from siftloom.session import mounted_dir
 
-QUERIES = ["mibf_classify", "mibf_classify_seeded", "mibf_all_counts", "mibf_count_dump", "mibf_classify_agreed", "mibf_classify_pair", "mibf_evaluation"]
+QUERIES = ["mibf_classify", "mibf_all_counts", "mibf_count_dump", "mibf_match_signature", "mibf_classify_agreed", "mibf_classify_pair", "mibf_classify_seeded", "mibf_evaluation"]
 OPPOSITE = str.maketrans("ACGT", "TGCA")
 
 
