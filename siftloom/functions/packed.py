@@ -7,10 +7,15 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
+
+from siftloom.functions import hashing
 
 LETTERS = np.frombuffer(b"ACGT", np.uint8)
 _CODE = np.full(256, 4, np.uint8)
 _CODE[LETTERS] = np.arange(4)
+#: Letters of the words by whose hashes windows are kept together.
+SHORT = 11
 #: Words hashed in one step, so that their columns stay in a core's cache.
 STEP = 1 << 14
 
@@ -37,6 +42,15 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def compressed(data: bytes) -> bytes:
+    """With a code for each byte by how often it comes; shuffles do not."""
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd").compress(data, asbytes=True)
+
+
+def expanded(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
 def differences(a: np.ndarray) -> np.ndarray:
     """The first value and the steps between the others, for ascending ones."""
     a = a.astype(np.int64, copy=False).view(np.uint64)
@@ -48,6 +62,22 @@ def summed(a: np.ndarray) -> np.ndarray:
     return np.cumsum(a, dtype=np.uint64)
 
 
+def squeezed(text: bytes) -> bytes:
+    """A, C, G, T as two bits each, and the places of other letters."""
+    code = _CODE[np.frombuffer(text, np.uint8)]
+    four = np.zeros((-(-len(code) // 4), 4), np.uint8)
+    four.reshape(-1)[: len(code)] = code & 3
+    return pack(np.array([len(code)]), differences(np.flatnonzero(code > 3)), four[:, 0] << 6 | four[:, 1] << 4 | four[:, 2] << 2 | four[:, 3])
+
+
+def spread(data: bytes) -> bytes:
+    """The text of squeezed(), other letters as N."""
+    n, other, four = unpack(data)
+    text = LETTERS[(four.astype(np.uint8)[:, None] >> np.array([6, 4, 2, 0], np.uint8)) & 3].reshape(-1)[: int(n[0])]
+    text[summed(other).astype(np.int64)] = ord("N")
+    return text.tobytes()
+
+
 def windows(text: bytes, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, word, back) of every window of A, C, G and T only: the smaller of the word and its reverse complement, and the larger."""
     if not 0 < k <= 31:
@@ -76,6 +106,20 @@ def windows(text: bytes, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, np.minimum(f, b), np.maximum(f, b)
 
 
+def least(text: bytes, start: np.ndarray, k: int) -> np.ndarray:
+    """A number for each window of k letters at start: the smallest hash of its words of SHORT letters, alike for most neighbours
+    and for the same window from either strand."""
+    short = min(k, SHORT)
+    at, word, _ = windows(text, short)
+    low, n, width = np.full(max(0, len(text) - short + 1), 0xFFFFFFFF, np.uint32), 1, k - short + 1
+    low[at] = (word * np.uint64(hashing.MULTIPLIER) >> np.uint64(32)).astype(np.uint32)
+    while 2 * n <= width:
+        low, n = np.minimum(low[:-n], low[n:]), 2 * n
+    if n < width:
+        low = np.minimum(low[: n - width], low[width - n :])
+    return low[start]
+
+
 _TURNS = [7, 12, 17, 22] * 4 + [5, 9, 14, 20] * 4 + [4, 11, 16, 23] * 4 + [6, 10, 15, 21] * 4
 _SINES = [np.uint32(int(abs(math.sin(i + 1)) * 2**32) & 0xFFFFFFFF) for i in range(64)]
 _START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)

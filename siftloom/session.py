@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 
@@ -90,12 +92,27 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
-def durable(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives the loss of executors.
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a table of durable(), which nothing reads any more."""
+    for folder in {os.path.dirname(x) for x in df.inputFiles()}:
+        _forget(df.sparkSession, folder)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets the shuffle files of queries that have ended go, which Spark deletes as the driver collects their plans. The first collection
+    drops what refers to a plan, the second the plan."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
+
+
+def durable(df: DataFrame, label: str = "cut", rows: int = 0) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage and survives the loss of executors. rows: of a file at most, if any.
 
     The files go when the process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siftloom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows).parquet(path)
     atexit.register(_forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)

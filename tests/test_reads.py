@@ -41,6 +41,20 @@ def test_kmers_are_not_written_as_rows(spark, tmp_path, query):
     assert 0 < new / (40 * 1970) < (80 if query == "mibf_classify_seeded" else 40)
 
 
+def test_count_dump_keeps_little_on_disk(spark, tmp_path, monkeypatch):
+    """What it leaves when it ends, when the words of all its turns are gone: the chunks, and the answers as a table and shuffled."""
+    monkeypatch.setattr(reads, "GROUP", 1 << 15)
+    monkeypatch.setattr(reads, "TURN", 4, raising=False)
+    rng = random.Random(2)
+    seqs = [letters(rng, 20000) for _ in range(40)]
+    pd.DataFrame({"seq_id": range(40), "id": [i % 5 for i in range(40)], "filter_id": "f", "seq": seqs}).to_parquet(tmp_path / "contig.parquet")
+    pd.DataFrame({"id": range(5), "name": ["s"] * 5}).to_parquet(tmp_path / "mi_source.parquet")
+    before = written(spark)
+    multi.mibf_count_dump(spark, str(tmp_path)).write.format("noop").mode("overwrite").save()
+    left = sum(n for p, n in written(spark).items() if p not in before)
+    assert 0 < left / (40 * 19970) < 6
+
+
 @pytest.fixture(scope="module")
 def odd(tmp_path_factory):
     """Texts that share stretches across sources and within themselves, from either strand, with runs of N, blanks, small and other letters."""
@@ -67,6 +81,27 @@ def test_chunks_and_groups_change_nothing(spark, odd, monkeypatch, query, sizes)
     oracle.compare(spark, odd, getattr(multi, query), multi.ORACLES[query])
 
 
+@pytest.mark.parametrize("query", ["mibf_count_dump", "mibf_classify"])
+def test_turns_change_nothing(spark, odd, monkeypatch, query):
+    for name, x in (("LETTERS", 3000), ("GROUP", 2000), ("TURN", 3), ("FILE", 2)):
+        monkeypatch.setattr(reads, name, x)
+    oracle.compare(spark, odd, getattr(multi, query), multi.ORACLES[query])
+
+
+@pytest.mark.parametrize("text", ["", "N", "ACGTN", "NNACGGT", "ACGT" * 9 + "N" * 5 + "TTT"])
+def test_squeezed_texts(text):
+    assert packed.spread(packed.squeezed(text.encode())).decode() == text
+    assert packed.expanded(packed.compressed(text.encode())).decode() == text
+
+
+@pytest.mark.parametrize("k", [1, 5, 11, 12, 31])
+def test_least_is_the_same_from_either_strand(k):
+    text = letters(random.Random(k), 300) + "N" + letters(random.Random(-k), 80)
+    both = [packed.windows(x.encode(), k)[0] for x in (text, text.translate(OPPOSITE)[::-1])]
+    one, other = (packed.least(x.encode(), at, k) for x, at in zip((text, text.translate(OPPOSITE)[::-1]), both))
+    assert one.tolist() == other.tolist()[::-1]
+
+
 @pytest.mark.parametrize("k", [1, 2, 8, 21, 31])
 def test_windows_and_hashes(spark, k):
     rng = random.Random(k)
