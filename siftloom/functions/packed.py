@@ -42,13 +42,18 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def compressed(data: bytes) -> bytes:
-    """With a code for each byte by how often it comes; shuffles do not."""
-    return len(data).to_bytes(8, "little") + pa.Codec("zstd").compress(data, asbytes=True)
+def compressed(*parts: bytes) -> bytes:
+    """Each with a code of its own for its bytes, by how often they come; shuffles do not."""
+    small = [pa.Codec("zstd").compress(x, asbytes=True) for x in parts]
+    return b"".join(len(n).to_bytes(4, "little") for x in zip(parts, small) for n in x) + b"".join(small)
 
 
-def expanded(data: bytes) -> bytes:
-    return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+def expanded(data: bytes, parts: int = 1) -> list[bytes]:
+    sizes, out, at = np.frombuffer(data, "<u4", 2 * parts).tolist(), [], 8 * parts
+    for n, size in zip(sizes[::2], sizes[1::2]):
+        out.append(pa.Codec("zstd").decompress(data[at : at + size], n, asbytes=True))
+        at += size
+    return out
 
 
 def differences(a: np.ndarray) -> np.ndarray:
